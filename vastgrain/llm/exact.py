@@ -101,7 +101,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct((-F.col("n_chars")).alias("x"), F.col("doc_id").isNull().alias("y"), F.col("doc_id").alias("doc_id"), F.col(key).alias("row"))
     groups = whole.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     # A group of one needs no join: its own row stays.
-    groups = groups.filter("group_size > 1")
+    groups = materialize(groups.filter("group_size > 1"), "groups")  # a plain table, so that a hot group's join can be split
     joined = whole.join(groups, ["level", "name"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(

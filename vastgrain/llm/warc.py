@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialize
 
 BREAK = "\r\n"
 VERSION = "WARC/1.1"
@@ -59,7 +59,7 @@ def choose_revisits(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
     join back is skew-safe (adaptive), and only payloads that repeat take part.
     """
     same = captures.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_sha1", "payload_bytes").agg(F.max("capture_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    keepers = same.filter("n > 1").drop("n")
+    keepers = materialize(same.filter("n > 1").drop("n"), "keepers")  # a plain table, so that a hot payload's join can be split
     joined = captures.join(keepers, ["payload_sha1", "payload_bytes"], "left")
     return joined.withColumn("refers_to", F.when(F.col("keeper") != F.col("capture_id"), F.col("keeper"))).drop("keeper")
 
