@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ SAMPLES = 24
 MEMO_WORDS = 300_000
 #: Symbols of one side taken at a time in the banded alignment.
 STEP = 512
+#: Bits of the filter that keeps texts without a partner out of the exchange (4 MB).
+FILTER_BITS = 1 << 25
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -156,6 +159,30 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return c / (x + y - c)
 
 
+def maybe_among(few: DataFrame, column: str):
+    """A Bloom filter of fixed size (``FILTER_BITS``): a function of a long column that is true for all values in ``few``.
+
+    It keeps most rows without a partner out of the exchange before an exact join; where ``few`` is very large it lets
+    more through, which costs time only.
+    """
+    hashed = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_BITS))
+    bits = few.select(F.explode(F.array(*[hashed(F.col(column), k) for k in (0, 1)])).alias("bit"))
+    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toPandas()  # bounded by FILTER_BITS / 64
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
+    shared = few.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
+        have = np.ones(len(a), bool)
+        for s in (a, b):
+            bit = s.to_numpy(np.int64)
+            have &= (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pd.Series(have)
+
+    return lambda name: held(hashed(F.col(name), 0), hashed(F.col(name), 1))
+
+
 def sketches(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, samples: int = SAMPLES, ell: int = ELL) -> DataFrame:
     """``row_col, doc_id, same binary (of all words in order), n_kmers long, sample array<long>``."""
 
@@ -188,6 +215,7 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     flat = texts.filter("n_kmers > 0").select("node", "n_kmers", F.posexplode("sample").alias("j", "h")).select("node", "n_kmers", F.xxhash64("j", "h").alias("bucket"))
     end = F.struct("node", "n_kmers")
     ends = flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.node < high.node")
+    ends = materialize(ends, "buckets")  # a plain table, so that a hot bucket's join can be split
     met = flat.join(ends, "bucket").select("node", "n_kmers", F.explode(F.array("low", "high")).alias("end"))
     met = met.filter((F.col("node") != F.col("end.node")) & (F.least("n_kmers", "end.n_kmers") >= threshold * F.greatest("n_kmers", "end.n_kmers")))
     return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
@@ -251,12 +279,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = keyed.select(F.col(key).cast("long").alias(key), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(sketches(keyed, key, "doc_id", "text", words, samples, ell), "sketches")
     # Texts with the same words are one node, named by their smallest row.
-    nodes = rows.groupBy("same").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n"))
+    nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same")
     of_row = materialize(rows.select("row", "doc_id", "same", "n_kmers").join(nodes, "same").select("row", "doc_id", "node", "n_kmers"), "nodes")
     texts = of_row.filter("row = node").select("node", "n_kmers").join(rows.select(F.col("row").alias("node"), "sample"), "node")
     pairs = materialize(candidates(texts, threshold), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text")).join(ends, "node", "left_semi")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
+    needed = needed.filter(maybe_among(ends, "node")("node")).join(ends, "node", "left_semi")
     links = materialize(verify(pairs, materialize(needed, "texts"), threshold, words), "links")
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -264,6 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = materialize(whole, "classes")
     best = F.struct(F.col("doc_id").isNotNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     classes = whole.groupBy("root").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    classes = materialize(classes, "groups")
     joined = whole.join(classes, "root", "left")
     alone = F.col("best").isNull()
     return joined.select(
