@@ -35,8 +35,7 @@ RECORDS_PER_FILE = 3000
 
 def _uri(kind: str, key: Column) -> Column:
     """A record id from its capture's key: stable, so a task that runs again writes the same."""
-    h = F.md5(F.concat(F.lit(kind + ":"), key))
-    return F.concat(F.lit("<urn:uuid:"), *[x for i, n, sep in ((1, 8, "-"), (9, 4, "-"), (13, 4, "-"), (17, 4, "-"), (21, 12, ">")) for x in (F.substring(h, i, n), F.lit(sep))])
+    return F.regexp_replace(F.md5(F.concat(F.lit(kind + ":"), key)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -46,10 +45,9 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def base32_sha1(hex_digest: Column) -> Column:
-    """RFC 4648 base32 (upper case) of a SHA-1 given in hexadecimal digits: 32 characters of five bits."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(hex_digest, 1 + 10 * i, 10), 16, 2), 40, "0") for i in range(4)])
-    digits = [F.conv(F.substring(bits, 1 + 5 * i, 5), 2, 10).cast("int") for i in range(32)]
-    return F.concat(*[F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), d + 1, F.lit(1)) for d in digits])
+    """RFC 4648 base32 (upper case) of a SHA-1 given in hexadecimal digits: 40 bits are eight digits of base 32."""
+    digits = F.concat(*[F.lpad(F.conv(F.substring(hex_digest, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)])
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def choose_revisits(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -206,6 +204,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
         "capture", F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("refers_to"), F.col("response.declared_digest").alias("declared_digest"),
         F.col("response.payload_digest").alias("digest"), F.col("response.payload_bytes").alias("bytes"), F.col("metadata.fields").alias("fields"), F.col("response.target_uri").alias("target_uri"),
     )
+    side = materialize(side, "captures")  # read once, and plain, so that the join can be split
     kept = side.filter("record_type = 'response'").select(F.col("capture").alias("refers_to"), F.col("digest").alias("r_digest"), F.col("bytes").alias("r_bytes"), F.col("fields").alias("r_fields"))
     joined = side.join(kept, "refers_to", "left")
     return joined.select(
