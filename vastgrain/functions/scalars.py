@@ -152,15 +152,29 @@ def accessions(text: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         fix = {"upper": F.upper, "lower": F.lower, "": lambda c: c}[case]
         parts.append(F.transform(found, _named(fix, prefix, kind)))
-    ids = F.flatten(F.array(*parts))
-    trimmed = lambda c: F.regexp_replace(c, r"[.)]+$", "")
-    dois = F.transform(F.filter(F.regexp_extract_all(text, F.lit(DOI), F.lit(1)), lambda d: ~F.lower(d).rlike("zenodo|figshare|17632")), lambda d: F.struct(trimmed(d).alias("id"), F.lit("doi").alias("kind")))
-    known = F.concat(ids, dois)
+    dois = F.transform(F.filter(F.regexp_extract_all(text, F.lit(DOI), F.lit(1)), lambda d: ~F.lower(d).rlike("zenodo|figshare|17632")), lambda d: F.struct(_closed(d).alias("id"), F.lit("doi").alias("kind")))
+    return let(F.concat(F.flatten(F.array(*parts)), dois), lambda known: let(F.concat(known, _urls(text, known)), distinct_ids))
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _closed(c: Column) -> Column:
+    return F.regexp_replace(c, r"[.)]+$", "")
+
+
+def _urls(text: Column, known: Column) -> Column:
     carries = lambda u: F.lower(u).rlike(r"zenodo\.org/record|figshare\.com/articles|doi\.org/10\.") | F.exists(known, lambda k: (F.length(k["id"]) >= 6) & F.lower(u).contains(F.lower(k["id"])))
-    urls = F.transform(F.filter(F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(1)), trimmed), lambda u: ~carries(u)), lambda u: F.struct(u.alias("id"), accession_kind(u).alias("kind")))
-    every = F.concat(known, urls)
-    numbered = F.transform(every, lambda a, i: F.struct(a["id"].alias("id"), a["kind"].alias("kind"), i.alias("i")))
-    return F.transform(F.filter(numbered, lambda a: ~F.exists(F.filter(numbered, lambda b: b["i"] < a["i"]), lambda b: F.lower(b["id"]) == F.lower(a["id"]))), lambda a: F.struct(a["id"].alias("id"), a["kind"].alias("kind")))
+    found = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(1)), _closed)
+    return F.transform(F.filter(found, lambda u: ~carries(u)), lambda u: F.struct(u.alias("id"), accession_kind(u).alias("kind")))
+
+
+def distinct_ids(found: Column) -> Column:
+    """The first of each id, case aside, in order."""
+    numbered = F.transform(found, lambda a, i: F.struct(a["id"].alias("id"), a["kind"].alias("kind"), i.alias("i")))
+    return let(numbered, lambda all_: F.transform(F.filter(all_, lambda a: ~F.exists(all_, lambda b: (b["i"] < a["i"]) & (F.lower(b["id"]) == F.lower(a["id"])))), lambda a: F.struct(a["id"].alias("id"), a["kind"].alias("kind"))))
 
 
 # What an accession as a whole is, in the order tried.

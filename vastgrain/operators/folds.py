@@ -54,7 +54,7 @@ def catalogue_fold(events: DataFrame) -> DataFrame:
                 state |= {k: v for k, v in payload.items() if k in ("note", "confident", "target")}
             state["last_seen"] = row["ts"]
         if state is None:
-            return pd.DataFrame({c.split()[0]: [] for c in CATALOGUE_SCHEMA.split(", ")})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in CATALOGUE_SCHEMA.split(", ")})
         return pd.DataFrame([{"key": key, **state}])
 
     return events.select("line", F.col("ts").cast("double").alias("ts"), "event", "key", "payload").groupBy("key").applyInPandas(fold, CATALOGUE_SCHEMA)
