@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
 import ahocorasick
@@ -146,60 +148,64 @@ class Model:
 
 
 class Encoder:
-    """Exact encoding of one run by backtracking over Aho-Corasick matches."""
+    """Exact encoding of one run by backtracking over Aho-Corasick longest matches."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.matches = ahocorasick.Automaton()
-        for piece in model.whole:  # reversed: a match's end in the reversed run is its start in the run
-            self.matches.add_word(piece[::-1], piece)
+        self.matches = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for piece in model.whole:
+            self.matches.add_word(piece)
         self.matches.make_automaton()
         self.memo = Memo(self._bytes, MEMO_RUNS)
 
     def pieces(self, run: str) -> list[str]:
         """The pieces of a run; a character without a piece stands for itself."""
-        n, pair = len(run), self.model.pair
-        found: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.matches.iter(run[::-1]):  # at each end the longest comes first
-            found[n - 1 - end].append(piece)
-        for at, here in enumerate(found):
-            if not here:
-                here.append(run[at])
+        n, pair, whole = len(run), self.model.pair, self.model.whole
+        reach, longest = self.matches.longest_prefix, self.model.longest
         failed = bytearray(n // 8 + 1)  # a bit for each position from which no compatible way on exists
         out: list[str] = []
-        tried: list[int] = [0]
-        at = 0
+        left: list[int] = []  # for each piece taken, the next shorter length to try in its place
+        at, size = 0, -1
         while at < n:
-            k, here = tried[-1], found[at]
-            while k < len(here):
-                piece = here[k]
-                k += 1
-                to = at + len(piece)
+            if size < 0:
+                size = max(1, reach(run[at : at + longest]))
+            last = out[-1] if out else None
+            while size:
+                piece = run[at : at + size]
+                size -= 1
+                if size and piece not in whole:  # a single character is taken as it is
+                    continue
+                to = at + size + 1
                 if failed[to >> 3] >> (to & 7) & 1:
                     continue
-                if not out or pair[out[-1], piece]:
-                    tried[-1] = k
+                if last is None or pair[last, piece]:
                     out.append(piece)
-                    tried.append(0)
-                    at = to
+                    left.append(size)
+                    at, size = to, -1
                     break
             else:
                 if not out:
                     raise ValueError("no encoding found")
                 failed[at >> 3] |= 1 << (at & 7)
-                tried.pop()
                 at -= len(out.pop())
+                size = left.pop()
         return out
 
     def ids(self, run: str) -> list[int]:
-        out: list[int] = []
+        whole, out = self.model.whole, []
         for p in self.pieces(run):
-            i = self.model.pieces.get(p)
-            out += self.model.fallback(p) if i is None else [i]
+            i = whole.get(p)
+            if i is None:
+                out += self.model.fallback(p)
+            else:
+                out.append(i)
         return out
 
     def _bytes(self, run: str) -> bytes:
-        return np.array(self.ids(run), "<u4").tobytes()
+        ids = array("I", self.ids(run))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str, begin: bool = False, end: bool = False) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
