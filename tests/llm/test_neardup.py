@@ -100,3 +100,17 @@ def test_awkward_rows(spark, tmp_path):
         by[r.class_id].add(r.doc_id)
     assert by[1] == {1, 2} and by[3] == {3, 4, 5} and by[7] == {7, 8} and by[6] == {6}
     assert N.near_duplicates(cases.empty(spark, tmp_path)).count() == 0
+
+
+def test_pairs_hidden_in_crowded_buckets(spark, tmp_path):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rnd.choice(words) for _ in range(45))
+    texts = []
+    for _ in range(60):
+        own = [rnd.choice(words) for _ in range(18)]
+        texts += [passage + " " + " ".join(own), passage + " " + " ".join([*own[:-1], rnd.choice(words)])]
+    rnd.shuffle(texts)
+    pairs = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()}
+    assert got == classes_of(pairs)

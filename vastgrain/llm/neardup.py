@@ -13,8 +13,9 @@ missed by all ``SAMPLES`` with probability about 1e-8.
 
 Scale: texts with the same words collapse first, so copies meet as one. In a bucket each text is paired with the
 smallest and the largest text id only, never all with all; buckets are reduced before the exchange and joined back
-on a key that adaptive execution splits. Links become classes by alternating star contraction on DataFrames;
-nothing of the corpus reaches the driver.
+on a key that adaptive execution splits. Links become classes by alternating star contraction on DataFrames. Where a
+bucket then still holds several classes (a passage many texts share), its texts are dealt anew by pairs of samples,
+round by round until no further link is found. Nothing of the corpus reaches the driver.
 
 Cases: null counts as empty; texts without a word are all alike (one class); texts of fewer words than a k-mer
 have one k-mer, all their words; repeated rows are copies; a null doc_id is smallest; extra columns are ignored.
@@ -207,8 +208,18 @@ def sketches(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: st
     return map_batches(docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), make, f"row long, doc_id {kind}, same binary, n_kmers long, sample array<long>")
 
 
-def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a < b) of distinct texts that share a sample, each text against the ends of its buckets.
+def _fits(a: str, b: str, threshold: float):
+    """Lengths alone leave the threshold within reach."""
+    return F.least(a, b) >= threshold * F.greatest(a, b)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+
+
+def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs a < b of distinct texts that share a sample, each text against the ends of its buckets;
+    members are the rows ``bucket, node`` of buckets with more than one text.
 
     ``texts`` has ``node, n_kmers, sample``.
     """
@@ -216,9 +227,31 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     end = F.struct("node", "n_kmers")
     ends = flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.node < high.node")
     ends = materialize(ends, "buckets")  # a plain table, so that a hot bucket's join can be split
-    met = flat.join(ends, "bucket").select("node", "n_kmers", F.explode(F.array("low", "high")).alias("end"))
-    met = met.filter((F.col("node") != F.col("end.node")) & (F.least("n_kmers", "end.n_kmers") >= threshold * F.greatest("n_kmers", "end.n_kmers")))
-    return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+    members = materialize(flat.join(ends, "bucket"), "members")
+    met = members.select("node", "n_kmers", F.explode(F.array("low", "high")).alias("end"))
+    met = met.filter((F.col("node") != F.col("end.node")) & _fits("n_kmers", "end.n_kmers", threshold))
+    return _pairs(met), members.select("bucket", "node")
+
+
+def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame:
+    """Pairs of texts of different classes that a crowded bucket may have kept apart.
+
+    Texts in a bucket of several classes are dealt anew by pairs of samples, which texts that aren't alike seldom share;
+    there each meets the texts of the smallest and the largest class. A pair at the threshold shares half of its samples,
+    so it meets in many of these buckets.
+    """
+    rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    mixed = materialize(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed")
+    nodes = materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes")
+    steps = sorted({s % samples for s in (1, 5, 11)} - {0})
+    keys = F.expr(f"flatten(transform(sequence(0, {samples - 1}), j -> transform(array({','.join(map(str, steps))}), s -> xxhash64(j, sample[j], s, sample[(j + s) % {samples}]))))") if steps else F.expr("array(xxhash64(sample[0]))")
+    flat = nodes.join(texts.select("node", "n_kmers", "sample"), "node").select("node", "n_kmers", "root", F.explode(keys).alias("bucket"))
+    flat = materialize(flat, "pair-samples")
+    end = F.struct("root", "node", "n_kmers")
+    ends = materialize(flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.root < high.root"), "pair-buckets")
+    met = flat.join(ends, "bucket").select("node", "n_kmers", "root", F.explode(F.array("low", "high")).alias("end"))
+    return _pairs(met.filter((F.col("root") != F.col("end.root")) & _fits("n_kmers", "end.n_kmers", threshold)))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -267,6 +300,14 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _verified(keyed: DataFrame, key: str, pairs: DataFrame, threshold: float, words: int) -> DataFrame:
+    """The links among ``pairs``, written."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
+    needed = needed.filter(maybe_among(ends, "node")("node")).join(ends, "node", "left_semi")
+    return materialize(verify(pairs, materialize(needed, "texts"), threshold, words), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, samples: int = SAMPLES, ell: int = ELL, row_col: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, class_id, n_links, group_size, kept`` (and the row key, if given).
 
@@ -281,13 +322,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Texts with the same words are one node, named by their smallest row.
     nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same")
     of_row = materialize(rows.select("row", "doc_id", "same", "n_kmers").join(nodes, "same").select("row", "doc_id", "node", "n_kmers"), "nodes")
-    texts = of_row.filter("row = node").select("node", "n_kmers").join(rows.select(F.col("row").alias("node"), "sample"), "node")
-    pairs = materialize(candidates(texts, threshold), "pairs")
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
-    needed = needed.filter(maybe_among(ends, "node")("node")).join(ends, "node", "left_semi")
-    links = materialize(verify(pairs, materialize(needed, "texts"), threshold, words), "links")
+    texts = materialize(of_row.filter("row = node").select("node", "n_kmers").join(rows.select(F.col("row").alias("node"), "sample"), "node"), "distinct")
+    pairs, members = candidates(texts, threshold)
+    links = _verified(keyed, key, materialize(pairs, "pairs"), threshold, words)
     roots = components(links)
+    while True:
+        more = materialize(further_candidates(texts, members, roots, threshold, samples), "pairs")
+        if more.isEmpty():
+            break
+        found = _verified(keyed, key, more, threshold, words)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found).dropDuplicates(["a", "b"])
+        roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     whole = of_row.join(roots, "node", "left").join(degree, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     whole = materialize(whole, "classes")
