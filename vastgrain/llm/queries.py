@@ -105,7 +105,47 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+_GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _license_sql() -> str:
+    """The scan without filters: every block against every template, and every place of every phrase."""
+    phrases = ", ".join(f"({words.split()!r}, '{label}')" for words, label in licenses.PHRASES)
+    templates = ", ".join(f"({i}, '{label}', {sorted(set(words.split()))!r}, {licenses.need_of(len(set(words.split())))})" for i, (words, label) in enumerate(licenses.TEMPLATES))
+    half = licenses.BLOCK_WORDS // 2
+    return f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_GAP}') AS ws FROM documents),
+        ph AS (SELECT * FROM (VALUES {phrases}) v(p, label)),
+        tp AS (SELECT * FROM (VALUES {templates}) v(t, label, tokens, need)),
+        word AS (SELECT doc_id, ws, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+        hit AS (SELECT doc_id, pos, label FROM word JOIN ph ON word = p[1] AND ws[pos + 1 : pos + len(p)] = p),
+        base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list(DISTINCT label)) AS labels FROM hit GROUP BY doc_id),
+        tok AS (SELECT t, label, need, len(tokens) AS size, unnest(tokens) AS word FROM tp),
+        blk AS (SELECT doc_id, word, pos // {half} AS block FROM word WHERE word IN (SELECT word FROM tok) UNION SELECT doc_id, word, pos // {half} - 1 FROM word WHERE pos >= {half} AND word IN (SELECT word FROM tok)),
+        met AS (SELECT doc_id, any_value(label) AS label, count(*) / any_value(size) AS share FROM blk JOIN tok USING (word) GROUP BY doc_id, block, t HAVING count(*) >= any_value(need)),
+        best AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS found FROM met GROUP BY doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(labels, ','), '') AS base_labels,
+            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ','), '') AS labels,
+            CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+        FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id
+    """
+
+
+def _warc_sql() -> str:
+    """What the archive has to give back, from the pages themselves. SHA-1 goes to base32 forty bits at a time."""
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(p.h, {at}, 10) AS BIGINT) >> {shift}) & 31) AS INT) + 1, 1)"
+    digest = " || ".join(digit.format(at=1 + 10 * i, shift=35 - 5 * j) for i in range(4) for j in range(8))
+    return f"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages), k AS (SELECT h, n, max(page_id) AS keeper FROM p GROUP BY 1, 2)
+        SELECT page_id, p.n AS payload_bytes, {digest} AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM p JOIN k ON k.h = p.h AND k.n = p.n
+    """
+
+
 ORACLE_SQL = {
+    "op1_license_scan": _license_sql(),
+    "op5_warc": _warc_sql(),
     "op2_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
