@@ -282,15 +282,16 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wor
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (``a`` != ``b``): ``node, root``, where the root is the smallest node.
 
-    Alternating large-star and small-star steps until nothing changes. Each step reduces before its exchange.
+    Alternating large-star and small-star steps until nothing changes. Each step reduces before its exchange and writes
+    what it has reduced, so that the join at the centre of a large star can be split.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         edges = materialize(small, "edges")
@@ -336,7 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(found).dropDuplicates(["a", "b"])
         roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    whole = of_row.join(roots, "node", "left").join(degree, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    info = materialize(roots.join(degree, "node", "full"), "info")  # one plain table, so that the join at a text with many copies can be split
+    whole = of_row.join(info, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     whole = materialize(whole, "classes")
     best = F.struct(F.col("doc_id").isNotNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     classes = whole.groupBy("root").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
