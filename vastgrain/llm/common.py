@@ -73,15 +73,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
 
 class Memo(dict):
-    """A bounded cache: ``memo[key]`` computes and keeps; when ``limit`` keys are held, it starts afresh."""
+    """A bounded cache of two generations: ``memo[key]`` computes and keeps (no value is None).
+
+    When the young one holds ``limit`` keys, it becomes the old one; keys used again move back.
+    """
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value

@@ -12,9 +12,9 @@ here rest on that fact:
   is the one match ending there that is compatible with the last piece of the prefix before it. It keeps
   the token count of every prefix, so truncation and budget questions need no new encoding.
 
-No piece holds a space mark after another character, so merges never cross the start of a run of space
-marks; a text is encoded run by run, and runs repeat, so results are memoised (bounded). This is checked
-when the model is loaded.
+Where no piece holds two neighbouring characters in a row, merges can't cross between them; a text is cut there
+(before space marks, around line breaks, before most punctuation, as the model's pieces tell) and encoded run by
+run. Runs repeat, so results are memoised (bounded).
 
 Cases: null counts as empty; the empty text has no tokens (with begin and end: two); control strings such
 as ``<s>`` in a text are ordinary text; characters without a piece become byte pieces.
@@ -41,8 +41,8 @@ from .common import Memo, map_batches, text_of
 MARK = "▁"
 #: Runs longer than this are encoded without memoising them.
 MEMO_CHARS = 48
-MEMO_RUNS = 400_000
-MEMO_PAIRS = 400_000
+MEMO_RUNS = 250_000
+MEMO_PAIRS = 200_000
 
 
 class Model:
@@ -75,13 +75,29 @@ class Model:
         self.raw[self.unknown] = " \u2047 ".encode()
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
         self.alone = "".join(c for c in "\n\t\r" if c not in inside)
-        stop = MARK + re.escape(self.alone)
-        self.runs = re.compile(f"{MARK}+[^{stop}]*|[^{stop}]+" + (f"|[{re.escape(self.alone)}]+" if self.alone else ""))
+        self.runs = self._runs()
         #: Pieces that merging can produce: those that re-encode to themselves.
         self.whole = {p: i for p, i in self.pieces.items() if len(p) == 1 or self.merge(p) == [p]}
         self.longest = max(map(len, self.whole))
         self.pair = Memo(self._pair, MEMO_PAIRS)
 
+    def _runs(self) -> re.Pattern:
+        """Cuts a marked text where no piece can reach across: before a run of marks, around characters that only stand alone, and
+        before marks of punctuation that no piece has after the character in front of them."""
+        before: dict[str, set[str]] = {}
+        for p in self.pieces:
+            for a, b in zip(p, p[1:], strict=False):
+                before.setdefault(b, set()).add(a)
+        points = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+        few = 16  # a mark with more characters in front of it than this isn't cut off
+        while drop := {c for c in points if len(before.get(c, set()) - points - {MARK}) > few}:
+            points -= drop
+        joins = set().union(*(before.get(c, set()) for c in points)) - points - {MARK}
+        stop, apart, join = MARK + re.escape(self.alone), re.escape("".join(sorted(points))), re.escape("".join(sorted(joins)))
+        word = f"[^{stop}{apart}]+" + (f"(?:(?<=[{join}])[{apart}][^{stop}]*)?" if joins and points else "")
+        parts = [f"{MARK}*{word}", f"{MARK}*[{apart}][^{stop}]*" if apart else "", f"{MARK}+", f"[{re.escape(self.alone)}]+" if self.alone else ""]
+        return re.compile("|".join(filter(None, parts)))
+
     def merge(self, text: str) -> list[str]:
         """Plain merging: join the neighbours whose union has the best score, leftmost first, until none is left."""
         parts, score = list(text), self.score
