@@ -53,10 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """Add :data:`ROW`, unique per input row. ``df`` is to be a table scan, so that a second read gives the same keys."""
+    """Add :data:`ROW`, unique per input row within one run of the plan. A second run may cut files otherwise, as executors come and go; see :func:`keyed_table`."""
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def keyed_table(df: DataFrame, name: str = "keyed") -> DataFrame:
+    """``df`` with :data:`ROW`, written, so that every later read sees the same keys."""
+    return materialize(with_row_key(df), name)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a per-task setup: ``make()`` runs once in each Python task and returns the batch function."""
 

@@ -91,7 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, n_chars`` (and the row key, if given).
 
     Of equal texts the row with the most code points stays, then the one with the smallest doc_id.
-    ``docs`` is read twice, so it is to be a table or a checkpoint.
+    ``docs`` is read twice, but its row keys are taken once, so they may be computed here.
     """
     key = row_col or ROW
     keyed = docs if row_col else with_row_key(docs)

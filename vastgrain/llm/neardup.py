@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Memo, map_batches, materialize, text_of, with_row_key
+from .common import ROW, Memo, keyed_table, map_batches, materialize, text_of
 
 WORD = re.compile(r"\w+")
 WORDS = 5
@@ -313,12 +313,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``doc_id, class_id, n_links, group_size, kept`` (and the row key, if given).
 
     ``class_id`` is the smallest doc_id of the class, whose first row stays (``kept``); ``n_links`` counts the verified links
-    of the row's text to other texts; ``group_size`` counts the rows of the class. ``docs`` is read twice, so it is
-    to be a table or a checkpoint.
+    of the row's text to other texts; ``group_size`` counts the rows of the class. Texts are read twice by their row key,
+    so without ``row_col`` they are first written with one; a ``row_col`` of your own has to be stored, not computed.
     """
     key = row_col or ROW
-    keyed = docs if row_col else with_row_key(docs)
-    keyed = keyed.select(F.col(key).cast("long").alias(key), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = docs if row_col else keyed_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    keyed = keyed.select(F.col(key).cast("long").alias(key), F.col(id_col if row_col else "doc_id").alias("doc_id"), F.col(text_col if row_col else "text").alias("text"))
     rows = materialize(sketches(keyed, key, "doc_id", "text", words, samples, ell), "sketches")
     # Texts with the same words are one node, named by their smallest row.
     nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same")

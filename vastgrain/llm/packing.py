@@ -169,6 +169,8 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group_docs
         if not held:
             return
         frame = pd.concat(held, ignore_index=True)
+        # Rows arrive in any order; ties of length are put in an order of their contents, so a task that runs again packs alike.
+        frame = frame.iloc[np.argsort(pd.util.hash_pandas_object(frame, index=False).to_numpy(), kind="stable")].reset_index(drop=True)
         bins, offsets = first_fit_decreasing(frame[length_col].to_numpy(), capacity)
         yield frame.assign(sequence_id=(frame["__group"].to_numpy().astype(np.int64) << 32) + bins, offset=offsets)
 

@@ -52,8 +52,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held_out = quality.fold(F.col("doc_id")) == 0
-    weights = quality.train(docs, labels.filter(~held_out))
+    held_out = F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False))  # a null doc_id is not held out
+    weights = quality.train(docs, labels.filter(quality.fold(F.col("doc_id")) != 0))
     score = quality.score_column(weights)
     scored = docs.select("doc_id", held_out.alias("held_out"), score(F.coalesce("text", F.lit(""))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
