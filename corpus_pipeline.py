@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vastgrain.llm import exact, neardup, packing, quality, secrets
-from vastgrain.llm.common import ROW, materialize, with_row_key
+from vastgrain.llm.common import ROW, keyed_table, materialize
 from vastgrain.llm.queries import tokenizer_file
 
 #: The least score of a document that stays.
@@ -34,13 +34,13 @@ def _only_kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
-    keyed = with_row_key(docs)
+    keyed = keyed_table(docs)
     return _only_kept(keyed, exact.exact_dedup(keyed, row_col=ROW))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates."""
-    keyed = with_row_key(docs)
+    keyed = keyed_table(docs)
     return _only_kept(keyed, neardup.near_duplicates(keyed, row_col=ROW))
 
 
