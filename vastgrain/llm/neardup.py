@@ -168,9 +168,9 @@ def maybe_among(few: DataFrame, column: str):
     """
     hashed = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_BITS))
     bits = few.select(F.explode(F.array(*[hashed(F.col(column), k) for k in (0, 1)])).alias("bit"))
-    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toPandas()  # bounded by FILTER_BITS / 64
+    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toArrow()  # bounded by FILTER_BITS / 64
     table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
+    table[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
     shared = few.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
