@@ -41,13 +41,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that one file may hold.
+FILE_ROWS = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage, fixes values that depend on partition numbers, and survives lost executors.
+    This cuts the lineage, fixes values that depend on partition numbers, and survives lost executors. ``rows``, an upper
+    bound of a narrow table's rows, keeps a small table from being scattered over many small files.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

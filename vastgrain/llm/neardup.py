@@ -41,6 +41,9 @@ THRESHOLD = 0.8
 ELL = 3
 SAMPLES = 24
 MEMO_WORDS = 300_000
+#: Samples a pair has to share before its texts are fetched. A pair at the threshold shares about half of all, and fewer
+#: than this with probability about 1e-5.
+AGREE = 3
 #: Symbols of one side taken at a time in the banded alignment.
 STEP = 512
 #: Bits of the filter that keeps texts without a partner out of the exchange (4 MB).
@@ -213,6 +216,11 @@ def _fits(a: str, b: str, threshold: float):
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
+def _agree(a: str, b: str):
+    """At least ``AGREE`` equal samples (in their short form)."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
 
@@ -221,7 +229,7 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     """(pairs, members): pairs a < b of distinct texts that share a sample, each text against the ends of its buckets;
     members are the rows ``bucket, node`` of buckets with more than one text.
 
-    ``texts`` has ``node, n_kmers, sample``.
+    ``texts`` has ``node, n_kmers, sample, sig`` (a byte for each sample).
     """
     flat = texts.filter("n_kmers > 0").select("node", "n_kmers", F.posexplode("sample").alias("j", "h")).select("node", "n_kmers", F.xxhash64("j", "h").alias("bucket"))
     end = F.struct("node", "n_kmers")
@@ -230,28 +238,32 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     members = materialize(flat.join(ends, "bucket"), "members")
     met = members.select("node", "n_kmers", F.explode(F.array("low", "high")).alias("end"))
     met = met.filter((F.col("node") != F.col("end.node")) & _fits("n_kmers", "end.n_kmers", threshold))
-    return _pairs(met), members.select("bucket", "node")
+    sigs = texts.select("node", "sig")
+    pairs = _pairs(met).join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    return pairs.filter(_agree("sa", "sb")).select("a", "b"), members.select("bucket", "node")
 
 
-def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame:
-    """Pairs of texts of different classes that a crowded bucket may have kept apart.
+def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame | None:
+    """Pairs of texts of different classes that a crowded bucket may have kept apart; None where no bucket holds several.
 
     Texts in a bucket of several classes are dealt anew by pairs of samples, which texts that aren't alike seldom share;
     there each meets the texts of the smallest and the largest class. A pair at the threshold shares half of its samples,
     so it meets in many of these buckets.
     """
     rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    mixed = materialize(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed")
-    nodes = materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes")
+    rooted = materialize(rooted, "rooted", members.count())
+    mixed = materialize(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed", rooted.count())
+    if mixed.isEmpty():
+        return None
+    nodes = materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes", texts.count())
     steps = sorted({s % samples for s in (1, 5, 11)} - {0})
     keys = F.expr(f"flatten(transform(sequence(0, {samples - 1}), j -> transform(array({','.join(map(str, steps))}), s -> xxhash64(j, sample[j], s, sample[(j + s) % {samples}]))))") if steps else F.expr("array(xxhash64(sample[0]))")
-    flat = nodes.join(texts.select("node", "n_kmers", "sample"), "node").select("node", "n_kmers", "root", F.explode(keys).alias("bucket"))
-    flat = materialize(flat, "pair-samples")
-    end = F.struct("root", "node", "n_kmers")
-    ends = materialize(flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.root < high.root"), "pair-buckets")
-    met = flat.join(ends, "bucket").select("node", "n_kmers", "root", F.explode(F.array("low", "high")).alias("end"))
-    return _pairs(met.filter((F.col("root") != F.col("end.root")) & _fits("n_kmers", "end.n_kmers", threshold)))
+    flat = nodes.join(texts.select("node", "n_kmers", "sample", "sig"), "node").select("node", "n_kmers", "root", "sig", F.explode(keys).alias("bucket"))
+    flat = materialize(flat, "pair-samples", nodes.count() * max(1, len(steps)) * samples)
+    end = F.struct("root", "node", "n_kmers", "sig")
+    ends = materialize(flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.root < high.root"), "pair-buckets", flat.count())
+    met = flat.join(ends, "bucket").select("node", "n_kmers", "root", "sig", F.explode(F.array("low", "high")).alias("end"))
+    return _pairs(met.filter((F.col("root") != F.col("end.root")) & _fits("n_kmers", "end.n_kmers", threshold) & _agree("sig", "end.sig")))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -282,28 +294,28 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wor
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (``a`` != ``b``): ``node, root``, where the root is the smallest node.
 
-    Alternating large-star and small-star steps until nothing changes. Each step reduces before its exchange and writes
+    Alternating large-star and small-star steps until only stars are left. Each step reduces before its exchange and writes
     what it has reduced, so that the join at the centre of a large star can be split.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    n = links.count()
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", n)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", 2 * n)
+        large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", 2 * n)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least", 2 * n)
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
-        edges = materialize(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        edges = materialize(small, "edges", 2 * n)
+        # Done when every node has one root and no root has one of its own.
+        marks = edges.select(F.col("u").alias("x"), F.lit(1).alias("is_u"), F.lit(0).alias("is_v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("is_u"), F.lit(1).alias("is_v")))
+        if marks.groupBy("x").agg(F.sum("is_u").alias("us"), F.max("is_v").alias("as_v")).filter("us > 1 or (us > 0 and as_v > 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
 
 
 def _verified(keyed: DataFrame, key: str, pairs: DataFrame, threshold: float, words: int) -> DataFrame:
     """The links among ``pairs``, written."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends", 2 * pairs.count())
     needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
     needed = needed.filter(maybe_among(ends, "node")("node")).join(ends, "node", "left_semi")
     return materialize(verify(pairs, materialize(needed, "texts"), threshold, words), "links")
@@ -321,28 +333,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = keyed.select(F.col(key).cast("long").alias(key), F.col(id_col if row_col else "doc_id").alias("doc_id"), F.col(text_col if row_col else "text").alias("text"))
     rows = materialize(sketches(keyed, key, "doc_id", "text", words, samples, ell), "sketches")
     # Texts with the same words are one node, named by their smallest row.
-    nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same")
+    n = rows.count()
+    nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same", n)
     of_row = materialize(rows.select("row", "doc_id", "same", "n_kmers").join(nodes, "same").select("row", "doc_id", "node", "n_kmers"), "nodes")
-    texts = materialize(of_row.filter("row = node").select("node", "n_kmers").join(rows.select(F.col("row").alias("node"), "sample"), "node"), "distinct")
-    pairs, members = candidates(texts, threshold)
-    links = _verified(keyed, key, materialize(pairs, "pairs"), threshold, words)
+    short = F.transform("sample", lambda x: (x % 128).cast("tinyint")).alias("sig")
+    texts = materialize(of_row.filter("row = node").select("node", "n_kmers").join(rows.select(F.col("row").alias("node"), "sample", short), "node"), "distinct")
+    tested, members = candidates(texts, threshold)
+    tested = materialize(tested, "pairs")
+    links = _verified(keyed, key, tested, threshold, words)
     roots = components(links)
     while True:
-        more = materialize(further_candidates(texts, members, roots, threshold, samples), "pairs")
-        if more.isEmpty():
+        more = further_candidates(texts, members, roots, threshold, samples)
+        if more is None or (more := materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")).isEmpty():
             break
+        tested = tested.unionByName(more)
         found = _verified(keyed, key, more, threshold, words)
         if found.isEmpty():
             break
         links = links.unionByName(found).dropDuplicates(["a", "b"])
         roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    info = materialize(roots.join(degree, "node", "full"), "info")  # one plain table, so that the join at a text with many copies can be split
+    info = materialize(roots.join(degree, "node", "full"), "info", n)  # one plain table, so that the join at a text with many copies can be split
     whole = of_row.join(info, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    whole = materialize(whole, "classes")
+    whole = materialize(whole, "classes", n)
     best = F.struct(F.col("doc_id").isNotNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     classes = whole.groupBy("root").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    classes = materialize(classes, "groups")
+    classes = materialize(classes, "groups", n)
     joined = whole.join(classes, "root", "left")
     alone = F.col("best").isNull()
     return joined.select(
