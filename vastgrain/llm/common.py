@@ -56,7 +56,19 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            jvm, context = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def with_row_key(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, text_of, with_row_key
+from .common import ROW, forget, materialize, text_of, with_row_key
 
 #: The characters that don't count: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,7 +47,7 @@ def block_identities(docs: DataFrame, text_col: str = "text", block_bytes: int =
     """Name whole texts. ``docs`` has a unique ``row_col``.
 
     Returns (rows, ids): rows holds ``row_col``, the columns in ``keep``, ``n_chars`` (code points of the original text),
-    ``text_sha256``; ids holds ``row_col``, ``level``, ``name``.
+    ``text_sha256`` and the blocks' digests; ids holds ``row_col``, ``level``, ``name``.
     """
     text = text_of(text_col)
     for digest in digests:
@@ -84,7 +84,7 @@ def block_identities(docs: DataFrame, text_col: str = "text", block_bytes: int =
         if most > 1:
             named = materialize(named, "block-level")
         done = done.unionByName(named.filter("n = 1").select(row_col, F.lit(level).alias("level"), "name"))
-    return rows.drop("__sigs"), done
+    return rows, done
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digests: Sequence[Digest] = DIGESTS, row_col: str | None = None) -> DataFrame:
@@ -97,7 +97,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs if row_col else with_row_key(docs)
     keyed = keyed.select(F.col(key), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows, ids = block_identities(keyed, "text", block_bytes, digests, key, keep=["doc_id"])
-    whole = materialize(rows.join(ids, key), "identities")
+    whole = materialize(rows.drop("__sigs").join(ids, key), "identities")
+    forget(rows)
     order = F.struct((-F.col("n_chars")).alias("x"), F.col("doc_id").isNull().alias("y"), F.col("doc_id").alias("doc_id"), F.col(key).alias("row"))
     groups = whole.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     # A group of one needs no join: its own row stays.

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Memo, keyed_table, map_batches, materialize, text_of
+from .common import ROW, Memo, forget, keyed_table, map_batches, materialize, text_of
 
 WORD = re.compile(r"\w+")
 WORDS = 5
@@ -227,7 +227,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs a < b of distinct texts that share a sample, each text against the ends of its buckets;
-    members are the rows ``bucket, node`` of buckets with more than one text.
+    members are the rows (``bucket``, ``node``) of buckets with more than one text.
 
     ``texts`` has ``node, n_kmers, sample, sig`` (a byte for each sample).
     """
@@ -236,11 +236,12 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     ends = flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.node < high.node")
     ends = materialize(ends, "buckets")  # a plain table, so that a hot bucket's join can be split
     members = materialize(flat.join(ends, "bucket"), "members")
+    forget(ends)
     met = members.select("node", "n_kmers", F.explode(F.array("low", "high")).alias("end"))
     met = met.filter((F.col("node") != F.col("end.node")) & _fits("n_kmers", "end.n_kmers", threshold))
     sigs = texts.select("node", "sig")
     pairs = _pairs(met).join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    return pairs.filter(_agree("sa", "sb")).select("a", "b"), members.select("bucket", "node")
+    return pairs.filter(_agree("sa", "sb")).select("a", "b"), members
 
 
 def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame | None:
@@ -254,10 +255,12 @@ def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, t
     rooted = materialize(rooted, "rooted", members.count())
     mixed = materialize(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed", rooted.count())
     if mixed.isEmpty():
+        forget(rooted, mixed)
         return None
     nodes = materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes", texts.count())
     steps = sorted({s % samples for s in (1, 5, 11)} - {0})
     keys = F.expr(f"flatten(transform(sequence(0, {samples - 1}), j -> transform(array({','.join(map(str, steps))}), s -> xxhash64(j, sample[j], s, sample[(j + s) % {samples}]))))") if steps else F.expr("array(xxhash64(sample[0]))")
+    forget(rooted, mixed)
     flat = nodes.join(texts.select("node", "n_kmers", "sample", "sig"), "node").select("node", "n_kmers", "root", "sig", F.explode(keys).alias("bucket"))
     flat = materialize(flat, "pair-samples", nodes.count() * max(1, len(steps)) * samples)
     end = F.struct("root", "node", "n_kmers", "sig")
@@ -306,7 +309,8 @@ def components(links: DataFrame) -> DataFrame:
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least", 2 * n)
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
-        edges = materialize(small, "edges", 2 * n)
+        edges, old = materialize(small, "edges", 2 * n), edges
+        forget(old, low, large, least)
         # Done when every node has one root and no root has one of its own.
         marks = edges.select(F.col("u").alias("x"), F.lit(1).alias("is_u"), F.lit(0).alias("is_v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("is_u"), F.lit(1).alias("is_v")))
         if marks.groupBy("x").agg(F.sum("is_u").alias("us"), F.max("is_v").alias("as_v")).filter("us > 1 or (us > 0 and as_v > 0)").isEmpty():
@@ -318,7 +322,10 @@ def _verified(keyed: DataFrame, key: str, pairs: DataFrame, threshold: float, wo
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends", 2 * pairs.count())
     needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
     needed = needed.filter(maybe_among(ends, "node")("node")).join(ends, "node", "left_semi")
-    return materialize(verify(pairs, materialize(needed, "texts"), threshold, words), "links")
+    texts = materialize(needed, "texts")
+    links = materialize(verify(pairs, texts, threshold, words), "links")
+    forget(ends, texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, samples: int = SAMPLES, ell: int = ELL, row_col: str | None = None) -> DataFrame:
@@ -329,8 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so without ``row_col`` they are first written with one; a ``row_col`` of your own has to be stored, not computed.
     """
     key = row_col or ROW
-    keyed = docs if row_col else keyed_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    keyed = keyed.select(F.col(key).cast("long").alias(key), F.col(id_col if row_col else "doc_id").alias("doc_id"), F.col(text_col if row_col else "text").alias("text"))
+    source = docs if row_col else keyed_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    keyed = source.select(F.col(key).cast("long").alias(key), F.col(id_col if row_col else "doc_id").alias("doc_id"), F.col(text_col if row_col else "text").alias("text"))
     rows = materialize(sketches(keyed, key, "doc_id", "text", words, samples, ell), "sketches")
     # Texts with the same words are one node, named by their smallest row.
     n = rows.count()
@@ -359,6 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = F.struct(F.col("doc_id").isNotNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     classes = whole.groupBy("root").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     classes = materialize(classes, "groups", n)
+    forget(rows, nodes, of_row, texts, members, info, *([] if row_col else [source]))
     joined = whole.join(classes, "root", "left")
     alone = F.col("best").isNull()
     return joined.select(
