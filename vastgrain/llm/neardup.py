@@ -216,7 +216,7 @@ def _fits(a: str, b: str, threshold: float):
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _agree(a: str, b: str):
+def _agree(a, b):
     """At least ``AGREE`` equal samples (in their short form)."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
 
@@ -248,7 +248,7 @@ def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, t
     """Pairs of texts of different classes that a crowded bucket may have kept apart; None where no bucket holds several.
 
     Texts in a bucket of several classes are dealt anew by pairs of samples, which texts that aren't alike seldom share;
-    there each meets the texts of the smallest and the largest class. A pair at the threshold shares half of its samples,
+    there each meets the texts of four classes, the ends of two orders. A pair at the threshold shares half of its samples,
     so it meets in many of these buckets.
     """
     rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
@@ -258,15 +258,19 @@ def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, t
         forget(rooted, mixed)
         return None
     nodes = materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes", texts.count())
-    steps = sorted({s % samples for s in (1, 5, 11)} - {0})
+    steps = sorted({s % samples for s in (1, 5)} - {0})
     keys = F.expr(f"flatten(transform(sequence(0, {samples - 1}), j -> transform(array({','.join(map(str, steps))}), s -> xxhash64(j, sample[j], s, sample[(j + s) % {samples}]))))") if steps else F.expr("array(xxhash64(sample[0]))")
     forget(rooted, mixed)
     flat = nodes.join(texts.select("node", "n_kmers", "sample", "sig"), "node").select("node", "n_kmers", "root", "sig", F.explode(keys).alias("bucket"))
     flat = materialize(flat, "pair-samples", nodes.count() * max(1, len(steps)) * samples)
     end = F.struct("root", "node", "n_kmers", "sig")
-    ends = materialize(flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.root < high.root"), "pair-buckets", flat.count())
-    met = flat.join(ends, "bucket").select("node", "n_kmers", "root", "sig", F.explode(F.array("low", "high")).alias("end"))
-    return _pairs(met.filter((F.col("root") != F.col("end.root")) & _fits("n_kmers", "end.n_kmers", threshold) & _agree("sig", "end.sig")))
+    mixed_up = F.struct(F.xxhash64("root").alias("order"), "root", "node", "n_kmers", "sig")
+    two = lambda name: F.struct(*[F.col(f"{name}.{c}").alias(c) for c in ("root", "node", "n_kmers", "sig")])
+    ends = materialize(flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.min(mixed_up).alias("m1"), F.max(mixed_up).alias("m2")).filter("low.root < high.root"), "pair-buckets", flat.count())
+    apart = lambda e: (e["root"] != F.col("root")) & (F.least("n_kmers", e["n_kmers"]) >= threshold * F.greatest("n_kmers", e["n_kmers"])) & _agree("sig", e["sig"])
+    found = F.array_distinct(F.transform(F.filter(F.array("low", "high", two("m1"), two("m2")), apart), lambda e: e["node"]))
+    met = flat.join(ends, "bucket").select("node", F.explode(found).alias("other"))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
