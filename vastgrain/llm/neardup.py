@@ -244,8 +244,9 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     return pairs.filter(_agree("sa", "sb")).select("a", "b"), members
 
 
-def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame | None:
-    """Pairs of texts of different classes that a crowded bucket may have kept apart; None where no bucket holds several.
+def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs of texts of different classes that a crowded bucket may have kept apart, and the ends that were met for them
+    (``seen`` holds those of earlier rounds); None where no bucket holds several classes.
 
     Texts in a bucket of several classes are dealt anew by pairs of samples, which texts that aren't alike seldom share;
     there each meets the texts of four classes, the ends of two orders. A pair at the threshold shares half of its samples,
@@ -267,10 +268,17 @@ def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, t
     mixed_up = F.struct(F.xxhash64("root").alias("order"), "root", "node", "n_kmers", "sig")
     two = lambda name: F.struct(*[F.col(f"{name}.{c}").alias(c) for c in ("root", "node", "n_kmers", "sig")])
     ends = materialize(flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.min(mixed_up).alias("m1"), F.max(mixed_up).alias("m2")).filter("low.root < high.root"), "pair-buckets", flat.count())
+    # The ends as rows; those of earlier rounds have met their buckets already.
+    rows = ends.select("bucket", F.explode(F.array("low", "high", two("m1"), two("m2"))).alias("end")).select("bucket", "end", F.col("end.node").alias("other")).dropDuplicates(["bucket", "other"])
+    rows = rows if seen is None else rows.join(seen, ["bucket", "other"], "left_anti")
+    rows = materialize(rows, "ends", 4 * ends.count())
+    fresh = materialize(rows.groupBy("bucket").agg(F.collect_list("end").alias("ends")), "fresh", rows.count())  # four a bucket at most
     apart = lambda e: (e["root"] != F.col("root")) & (F.least("n_kmers", e["n_kmers"]) >= threshold * F.greatest("n_kmers", e["n_kmers"])) & _agree("sig", e["sig"])
-    found = F.array_distinct(F.transform(F.filter(F.array("low", "high", two("m1"), two("m2")), apart), lambda e: e["node"]))
-    met = flat.join(ends, "bucket").select("node", F.explode(found).alias("other"))
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    met = flat.join(fresh, "bucket").select("node", F.transform(F.filter("ends", apart), lambda e: e["node"]).alias("found")).filter(F.size("found") > 0)
+    # A text lies in a fixed number of buckets, so what it has met is bounded.
+    met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).select("node", F.explode("found").alias("other"))
+    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return pairs, rows.select("bucket", "other")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -353,9 +361,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = materialize(tested, "pairs")
     links = _verified(keyed, key, tested, threshold, words)
     roots = components(links)
-    while True:
-        more = further_candidates(texts, members, roots, threshold, samples)
-        if more is None or (more := materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")).isEmpty():
+    seen = None
+    while (further := further_candidates(texts, members, roots, threshold, samples, seen)) is not None:
+        more, met = further
+        seen = met if seen is None else seen.unionByName(met)
+        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
             break
         tested = tested.unionByName(more)
         found = _verified(keyed, key, more, threshold, words)
