@@ -329,9 +329,13 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def _verified(keyed: DataFrame, key: str, pairs: DataFrame, threshold: float, words: int) -> DataFrame:
     """The links among ``pairs``, written."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends", 2 * pairs.count())
+    ends = materialize(_both_ends(pairs).distinct(), "ends", 2 * pairs.count())
     needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
     needed = needed.filter(maybe_among(ends, "node")("node")).join(ends, "node", "left_semi")
     texts = materialize(needed, "texts")
@@ -374,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = links.unionByName(found).dropDuplicates(["a", "b"])
         roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = _both_ends(links).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     info = materialize(roots.join(degree, "node", "full"), "info", n)  # one plain table, so that the join at a text with many copies can be split
     whole = of_row.join(info, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     whole = materialize(whole, "classes", n)
