@@ -114,3 +114,17 @@ def test_pairs_hidden_in_crowded_buckets(spark, tmp_path):
     pairs = list(enumerate(texts))
     got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()}
     assert got == classes_of(pairs)
+
+
+def test_pairs_in_the_middle_of_a_bucket_without_other_links(spark, tmp_path):
+    rnd = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(91))
+    own = lambda i, n: [f"o{i}x{j}" for j in range(n)]
+    texts = [passage + " " + " ".join(own(i, 13)) for i in range(900)]
+    twins = [[passage + " " + " ".join(own(f"t{i}", 3) + own(f"t{i}e{e}", 10)) for e in range(2)] for i in range(30)]
+    texts += [t for pair in twins for t in pair]
+    rnd.shuffle(texts)
+    at = {t: i for i, t in enumerate(texts)}
+    want = {i: i for i in range(len(texts))} | {max(at[a], at[b]): min(at[a], at[b]) for a, b in twins}
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, list(enumerate(texts)))).collect()}
+    assert got == want

@@ -9,13 +9,15 @@ A candidate pair is a link when its k-mer sequences, aligned in a band, share en
 longest common subsequence, c / (a + b - c) >= 0.8. That is the Jaccard index of the k-mers where their order
 agrees, and at that level the alignment can't leave the band, whose width follows from the threshold. With samples
 of ``ELL`` k-mers, a pair at the threshold agrees in one sample with probability about 0.8 ** ELL (a half), and is
-missed by all ``SAMPLES`` with probability about 1e-8.
+missed by all ``SAMPLES`` with probability about 6e-8 (4.7e-6 for 4 against 5 k-mers, where it is 0.4).
 
 Scale: texts with the same words collapse first, so copies meet as one. In a bucket each text is paired with the
 smallest and the largest text id only, never all with all; buckets are reduced before the exchange and joined back
 on a key that adaptive execution splits. Links become classes by alternating star contraction on DataFrames. Where a
 bucket then still holds several classes (a passage many texts share), its texts are dealt anew by pairs of samples,
-round by round until no further link is found. Nothing of the corpus reaches the driver.
+round by round until no further link is found. What is left then, texts in buckets of several classes, goes through an
+exact join over its rare k-mers, so that every pair which shares a sample is linked if it is alike or else tested or
+ruled out by its counts. Nothing of the corpus reaches the driver but a table of counts of fixed size.
 
 Cases: null counts as empty; texts without a word are all alike (one class); texts of fewer words than a k-mer
 have one k-mer, all their words; repeated rows are copies; a null doc_id is smallest; extra columns are ignored.
@@ -41,9 +43,10 @@ THRESHOLD = 0.8
 ELL = 3
 SAMPLES = 24
 MEMO_WORDS = 300_000
-#: Samples a pair has to share before its texts are fetched. A pair at the threshold shares about half of all, and fewer
-#: than this with probability about 1e-5.
+#: Samples a pair has to share before its texts are fetched in the first rounds; the exact join at the end asks for one.
 AGREE = 3
+#: Slots of the table of k-mer counts by which the exact join orders k-mers (8 MB); sharing a slot costs time only.
+SLOTS = 1 << 20
 #: Symbols of one side taken at a time in the banded alignment.
 STEP = 512
 #: Bits of the filter that keeps texts without a partner out of the exchange (4 MB).
@@ -216,9 +219,9 @@ def _fits(a: str, b: str, threshold: float):
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _agree(a, b):
-    """At least ``AGREE`` equal samples (in their short form)."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+def _agree(a, b, least: int = AGREE):
+    """At least ``least`` equal samples (in their short form)."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= least
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -244,6 +247,16 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     return pairs.filter(_agree("sa", "sb")).select("a", "b"), members
 
 
+def mixed_nodes(texts: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """The texts (``node, root``, written) in buckets that hold several classes; None where there are none."""
+    rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted", members.count())
+    mixed = materialize(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed", rooted.count())
+    nodes = None if mixed.isEmpty() else materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes", texts.count())
+    forget(rooted, mixed)
+    return nodes
+
+
 def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
     """Pairs of texts of different classes that a crowded bucket may have kept apart, and the ends that were met for them
     (``seen`` holds those of earlier rounds); None where no bucket holds several classes.
@@ -252,16 +265,11 @@ def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, t
     there each meets the texts of four classes, the ends of two orders. A pair at the threshold shares half of its samples,
     so it meets in many of these buckets.
     """
-    rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted", members.count())
-    mixed = materialize(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed", rooted.count())
-    if mixed.isEmpty():
-        forget(rooted, mixed)
+    nodes = mixed_nodes(texts, members, roots)
+    if nodes is None:
         return None
-    nodes = materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes", texts.count())
     steps = sorted({s % samples for s in (1, 5)} - {0})
     keys = F.expr(f"flatten(transform(sequence(0, {samples - 1}), j -> transform(array({','.join(map(str, steps))}), s -> xxhash64(j, sample[j], s, sample[(j + s) % {samples}]))))") if steps else F.expr("array(xxhash64(sample[0]))")
-    forget(rooted, mixed)
     flat = nodes.join(texts.select("node", "n_kmers", "sample", "sig"), "node").select("node", "n_kmers", "root", "sig", F.explode(keys).alias("bucket"))
     flat = materialize(flat, "pair-samples", nodes.count() * max(1, len(steps)) * samples)
     end = F.struct("root", "node", "n_kmers", "sig")
@@ -281,6 +289,96 @@ def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, t
     return pairs, rows.select("bucket", "other")
 
 
+def kmer_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How many of ``texts`` hold a labelled k-mer of each of ``SLOTS`` slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, total = Shingles(words), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total += np.bincount((labelled(shingles.of(shingles.tokens(text))) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # bounded by SLOTS
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def left_candidates(texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """All pairs a < b of different classes whose k-mer counts leave the threshold within reach and that share a sample:
+    ``a, b, ra, rb``. ``texts`` has ``node, root, sig, text``.
+
+    A prefix join: with every text's k-mers in one order, rarest first, a pair that reaches the threshold has its first common
+    k-mer so early in both that enough are left after it. A k-mer that very many texts share comes last, so it
+    brings together only those that have hardly anything else.
+    """
+    rarity = texts.sparkSession.sparkContext.broadcast(kmer_counts(texts, words))
+
+    def make():
+        shingles = Shingles(words)
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                marks = labelled(shingles.of(shingles.tokens(text)))
+                n, count = len(marks), rarity.value[(marks % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((marks, count))[: n - int(np.ceil(threshold * n - 1e-6)) + 1]
+                places = np.flatnonzero(count[order] > 1)  # the others stand in this text only
+                kmers = marks[order[places]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), x, np.int64)) for x in (node, n)] + [pa.array(kmers), pa.array(places)], ["node", "n", "kmer", "place"])
+
+        return step
+
+    prefixes = map_batches(texts.select("node", "text"), make, "node long, n long, kmer long, place long")
+    prefixes = materialize(prefixes.join(texts.select("node", "root"), "node"), "prefixes")
+    shared = materialize(prefixes.groupBy("kmer").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("kmer"), "shared-kmers", prefixes.count())
+    rows = materialize(prefixes.join(shared, "kmer").join(texts.select("node", "sig"), "node"), "shared-prefixes")  # a plain table, so that a hot k-mer's join can be split
+    forget(prefixes, shared)
+    enough = lambda left, total: left * (1 + threshold) >= threshold * total - 1e-6
+    long = rows.select("kmer", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "place", "sig")])
+    short = rows.filter(enough(F.col("n") - F.col("place"), 2 * F.col("n"))).select("kmer", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "n", "place", "sig")])
+    x, y = ({c: F.col(f"{c}_{end}") for c in ("node", "root", "n", "place", "sig")} for end in "xy")
+    in_order = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["node"] < x["node"]))
+    reach = enough(F.least(x["n"] - x["place"], y["n"] - y["place"]), x["n"] + y["n"])
+    met = long.join(short, (long["kmer"] == short["kmer"]) & (x["root"] != y["root"]) & in_order & reach & _agree(x["sig"], y["sig"], 1))
+    first = x["node"] < y["node"]
+    pick = lambda c: [F.when(first, x[c]).otherwise(y[c]), F.when(first, y[c]).otherwise(x[c])]
+    (a, b), (ra, rb) = pick("node"), pick("root")
+    pairs = materialize(met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct(), "left-pairs")
+    forget(rows)
+    return pairs
+
+
+def link_left(keyed: DataFrame, key: str, texts: DataFrame, members: DataFrame, links: DataFrame, roots: DataFrame, tested: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) after all pairs that :func:`left_candidates` leaves have been tested, unless their texts are in one class by then."""
+    nodes = mixed_nodes(texts, members, roots)
+    if nodes is None:
+        return links, roots
+    needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
+    needed = needed.filter(maybe_among(nodes, "node")("node")).join(nodes, "node").join(texts.select("node", "sig"), "node")
+    needed = materialize(needed, "left-texts")
+    pairs = left_candidates(needed, threshold, words)
+    left = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "left-pairs")
+    forget(nodes, pairs)
+    # One pair of each two classes goes first, which saves most of the others where classes are large.
+    one = materialize(left.groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "one-pairs", left.count())
+    for rest in (False, True):
+        pairs = one
+        if rest:
+            root_of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+            pairs = left.select("a", "b").join(one, ["a", "b"], "left_anti").join(root_of("a", "ra"), "a", "left").join(root_of("b", "rb"), "b", "left")
+            pairs = materialize(pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "rest-pairs", left.count())
+        if pairs.isEmpty():
+            continue
+        found = materialize(verify(pairs, needed, threshold, words), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found).dropDuplicates(["a", "b"])
+            roots = components(links)
+    forget(needed, left, one)
+    return links, roots
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """The pairs (``a``, ``b``) whose texts align; ``texts`` has ``node, text``. Adds ``similarity``."""
     first = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -378,6 +476,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = links.unionByName(found).dropDuplicates(["a", "b"])
         roots = components(links)
+    links, roots = link_left(keyed, key, texts, members, links, roots, tested, threshold, words)
     degree = _both_ends(links).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     info = materialize(roots.join(degree, "node", "full"), "info", n)  # one plain table, so that the join at a text with many copies can be split
     whole = of_row.join(info, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
