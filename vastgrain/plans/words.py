@@ -37,6 +37,11 @@ def revcomp(t):
     return t.documents.select("doc_id", S.reverse_complement(F.substring("text", 1, 60)).alias("rc"))
 
 
+@query("revcomp_whole", "SELECT doc_id, translate(reverse(regexp_replace(translate(text, 'atugcrykm', 'ATUGCRYKM'), '[^ATUGCRYKM]', 'N', 'g')), 'ATUGCRYKM', 'TAACGYRMK') AS rc FROM documents")
+def revcomp_whole(t):
+    return t.documents.select("doc_id", S.reverse_complement(F.col("text")).alias("rc"))
+
+
 IDS = ["ENSG00000141510.12", "ENSMUSG00000059552", "HGNC:11998", "hgnc:5", "7157", "CD8A", "CD45", "CDw210a", "P04637", "Q9Y6K9-2", "TP53", "B3GNT2", "A0A024R1R8", "", " EGFR ", "1234567890"]
 
 
