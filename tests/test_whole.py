@@ -18,3 +18,10 @@ def got(spark, name, folder=FOLDER):
 def test_revcomp_takes_all_characters(spark, tmp_path):
     write(spark, tmp_path, "documents", [(1, "A" * 100 + "C")], "doc_id long, text string")
     assert got(spark, "revcomp_whole", tmp_path) == [(1, "G" + "T" * 100)]
+
+
+def test_spread_sample_reaches_the_end_of_the_table(spark, tmp_path):
+    for n in (1000, 20_000):
+        folder = tmp_path / str(n)
+        write(spark, folder, "events", [(i, float(i)) for i in range(n)], "event_id long, value double")
+        assert sorted(i for i, _ in got(spark, "spread_sample_whole", folder)) == [i * n // 40 for i in range(40)]

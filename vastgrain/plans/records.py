@@ -247,6 +247,11 @@ def spread_sample(t):
     return t.events.filter(F.col("event_id").isin(*Y.spread_indices(10_000, 40))).select("event_id", "value")
 
 
+@query("spread_sample_whole", "SELECT event_id, value FROM events WHERE event_id IN (SELECT i * n // least(40, n) FROM range(40) r(i), (SELECT count(*) AS n FROM events) WHERE i < n)")
+def spread_sample_whole(t):
+    return t.events.filter(F.col("event_id").isin(*Y.spread_indices(t.events.count(), 40))).select("event_id", "value")
+
+
 @query("footer_stats", "SELECT count(l_quantity) AS num_values, count(*) - count(l_quantity) AS nulls, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem")
 def footer_stats(t):
     return t.lineitem.agg(F.count("l_quantity").alias("num_values"), (F.count(F.lit(1)) - F.count("l_quantity")).alias("nulls"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
