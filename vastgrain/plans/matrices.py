@@ -118,6 +118,11 @@ def panel_zero_fill(t):
     return J.zero_filled(t.part.filter("p_partkey <= 20").select(F.col("p_partkey").alias("gene")), t.orders.filter("o_orderkey <= 200").select(F.col("o_orderkey").alias("cell")), matrix(t))
 
 
+@query("panel_zero_fill_whole", f"WITH {COO}, g AS (SELECT p_partkey AS gene FROM part WHERE p_partkey <= 20), c AS (SELECT o_orderkey AS cell FROM orders) SELECT c.cell, g.gene, coalesce(value, 0) AS value FROM c CROSS JOIN g LEFT JOIN coo ON coo.cell = c.cell AND coo.gene = g.gene")
+def panel_zero_fill_whole(t):
+    return J.zero_filled(t.part.filter("p_partkey <= 20").select(F.col("p_partkey").alias("gene")), t.orders.select(F.col("o_orderkey").alias("cell")), matrix(t))
+
+
 @query("lut_join", f"WITH {COO} SELECT cell + 1000000 AS cell, p_size AS axis, value FROM coo JOIN part ON gene = p_partkey WHERE p_size <= 10")
 def lut_join(t):
     lut = t.part.filter("p_size <= 10").select(F.col("p_partkey").alias("gene"), F.col("p_size").alias("axis"))

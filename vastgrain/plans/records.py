@@ -169,6 +169,11 @@ def cohort_complete(t):
     return J.complete_subjects(e.select(F.col("user_id").alias("subject"), F.to_date("ts").alias("session"), F.col("event_type").alias("sequence")), ["click", "view"])
 
 
+@query("cohort_complete_whole", "WITH s AS (SELECT user_id, CAST(ts AS DATE) AS d, list(DISTINCT event_type) FILTER (event_type IN ('click', 'view')) AS have FROM events GROUP BY 1, 2) SELECT user_id AS subject, count(*) AS sessions FROM s GROUP BY 1 HAVING bool_and(len(coalesce(have, [])) = 2)")
+def cohort_complete_whole(t):
+    return J.complete_subjects(t.events.select(F.col("user_id").alias("subject"), F.to_date("ts").alias("session"), F.col("event_type").alias("sequence")), ["click", "view"])
+
+
 @query("dup_suffix", "SELECT s_suppkey, CASE WHEN n = 1 THEN k ELSE k || '_' || n END AS unique_key FROM (SELECT s_suppkey, 'n' || s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)")
 def dup_suffix(t):
     return J.suffixed(t.supplier.select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("k")), "k", "s_suppkey").select("s_suppkey", "unique_key")
@@ -180,6 +185,12 @@ def one_per_run(t):
     return t.lineitem.filter("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("acc"), F.expr("l_partkey % 50").alias("run")).agg(F.bool_or(fastq).alias("has_fastq"), F.min(F.when(fastq, 0.0).otherwise(F.col("l_quantity"))).alias("cost"))
 
 
+@query("one_per_run_whole", "SELECT l_orderkey AS acc, l_partkey % 50 AS run, bool_or(l_returnflag = 'R') AS has_fastq, min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) AS cost FROM lineitem GROUP BY 1, 2")
+def one_per_run_whole(t):
+    fastq = F.col("l_returnflag") == "R"
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("acc"), F.expr("l_partkey % 50").alias("run")).agg(F.bool_or(fastq).alias("has_fastq"), F.min(F.when(fastq, 0.0).otherwise(F.col("l_quantity"))).alias("cost"))
+
+
 @query("route_rank", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN CAST('Infinity' AS DOUBLE) ELSE o_totalprice END, o_orderkey) AS INT) AS place FROM orders")
 def route_rank(t):
     cost = F.when(F.col("o_orderstatus") == "P", F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
@@ -282,6 +293,14 @@ def upsert_merge(t):
     return j.select("doc_id", F.when(F.col("has").isNull(), "kept").when(F.col("n_chars").isNull(), "new").when(F.col("n_chars") == F.col("new"), "same").otherwise("updated").alias("action"))
 
 
+@query("upsert_merge_whole", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'kept' WHEN a.doc_id IS NULL THEN 'new' WHEN a.n_chars = b.item_len THEN 'same' ELSE 'updated' END AS action FROM (SELECT doc_id, n_chars FROM documents) a FULL OUTER JOIN (SELECT doc_id, quality AS item_len FROM labels) b ON a.doc_id = b.doc_id")
+def upsert_merge_whole(t):
+    a = t.documents.select("doc_id", "n_chars")
+    b = t.labels.select("doc_id", F.col("quality").alias("new"), F.lit(True).alias("has"))
+    j = a.join(b, "doc_id", "full")
+    return j.select("doc_id", F.when(F.col("has").isNull(), "kept").when(F.col("n_chars").isNull(), "new").when(F.col("n_chars") == F.col("new"), "same").otherwise("updated").alias("action"))
+
+
 @query("lazy_time_range", "SELECT event_id, value FROM events WHERE epoch(ts) >= 1704412800 AND epoch(ts) < 1704499200")
 def lazy_time_range(t):
     from ..functions.scalars import epoch_seconds

@@ -178,6 +178,13 @@ def hit_profile(t):
     return G.hit_profile(t.documents.filter(F.col("text").contains("the")), 0, 1000, 32, "doc_id")
 
 
+@query("hit_profile_whole", "WITH e AS (SELECT min(doc_id) AS lo, greatest(max(doc_id), min(doc_id) + 1) AS hi FROM documents) SELECT least(31, ((doc_id - lo) * 32) // (hi - lo)) AS bucket, count(*) AS n FROM documents, e WHERE contains(text, 'the') GROUP BY 1")
+def hit_profile_whole(t):
+    lo, hi = t.documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    lo = lo or 0
+    return G.hit_profile(t.documents.filter(F.col("text").contains("the")), lo, max(hi or 0, lo + 1), 32, "doc_id")
+
+
 @query("point_extent", f"SELECT min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1, count(*) AS rows, count(DISTINCT gene) AS genes FROM {POINTS}")
 def point_extent(t):
     return G.extent(points(t))
