@@ -39,3 +39,12 @@ def test_no_record_is_left_out(spark, tmp_path):
     events = [(i, u, k) for i, (u, k) in enumerate((u, k) for u in (5, 70, 900) for k in ("click", "view"))]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(got(spark, "cohort_complete_whole", tmp_path)) == [(5, 1), (70, 1), (900, 1)]
+
+
+def test_no_language_is_left_out(spark, tmp_path):
+    write(spark, tmp_path, "documents", [(1, "de", "that GC"), (5000, "en", "that")], "doc_id long, lang string, text string")
+    for name in ("text_normalise_whole", "pattern_hits_whole"):
+        assert {r[0] for r in got(spark, name, tmp_path)} == {1, 5000}
+    assert sum(r.n for r in QUERIES["seq_buckets_whole"](spark, str(tmp_path)).collect()) == 2
+    assert sum(r.n for r in QUERIES["seq_zoom_whole"](spark, str(tmp_path)).collect()) == 2
+    assert {r[0] for r in got(spark, "pattern_offsets", tmp_path)} == {1, 5000}

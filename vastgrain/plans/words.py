@@ -115,6 +115,11 @@ def text_normalise(t):
     return t.documents.filter("lang = 'en'").select("doc_id", F.md5(V.normalise(F.col("text"))).alias("h"))
 
 
+@query("text_normalise_whole", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents")
+def text_normalise_whole(t):
+    return t.documents.select("doc_id", F.md5(V.normalise(F.col("text"))).alias("h"))
+
+
 @query("classify_url", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN 'url' ELSE 'unknown' END AS kind, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
 def classify_url(t):
     return t.pages.select("page_id", S.accession_kind(F.col("url")).alias("kind"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
@@ -133,21 +138,39 @@ def seq_buckets(t):
     return b.select("bucket", "n", "bases", F.col("min_len").cast("bigint").alias("min_len"), F.col("max_len").cast("bigint").alias("max_len"), F.round("gc", 9).alias("gc"), F.round("n_frac", 9).alias("n_frac"))
 
 
+@query("seq_buckets_whole", "SELECT doc_id // 64 AS bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, min(length(text)) AS min_len, max(length(text)) AS max_len, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc, round(sum(length(text) - length(translate(text, 'Nn', ''))) / sum(length(text)), 9) AS n_frac FROM documents GROUP BY 1")
+def seq_buckets_whole(t):
+    b = X.read_buckets(t.documents, 64, "doc_id", "text")
+    return b.select("bucket", "n", "bases", F.col("min_len").cast("bigint").alias("min_len"), F.col("max_len").cast("bigint").alias("max_len"), F.round("gc", 9).alias("gc"), F.round("n_frac", 9).alias("n_frac"))
+
+
 @query("seq_zoom", "SELECT (doc_id // 16 - 0) // 4 AS grp, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc FROM documents WHERE lang = 'en' AND doc_id // 16 < 63 GROUP BY 1")
 def seq_zoom(t):
     b = X.read_buckets(t.documents.filter("lang = 'en'"), 16, "doc_id", "text")
     return X.zoom_buckets(b, 0, 63, 16).select("grp", "n", "bases", F.round("gc", 9).alias("gc"))
 
 
+@query("seq_zoom_whole", "WITH e AS (SELECT greatest(1, (max(doc_id // 16) + 1 + 15) // 16) AS size FROM documents) SELECT (doc_id // 16) // size AS grp, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc FROM documents, e GROUP BY 1")
+def seq_zoom_whole(t):
+    b = X.read_buckets(t.documents, 16, "doc_id", "text")
+    top = t.documents.agg(F.max(F.expr("doc_id div 16"))).first()[0] or 0
+    return X.zoom_buckets(b, 0, top + 1, 16).select("grp", "n", "bases", F.round("gc", 9).alias("gc"))
+
+
 @query("pattern_hits", "SELECT doc_id, len(regexp_extract_all(upper(text), 'THAT|NTNN')) AS hits FROM documents WHERE lang = 'en'")
 def pattern_hits(t):
     """The pattern on either strand; letters outside the alphabet complement to N."""
     return X.pattern_counts(t.documents.filter("lang = 'en'").select("doc_id", F.col("text").alias("seq")), "that").select("doc_id", F.col("hits").cast("bigint").alias("hits"))
 
 
+@query("pattern_hits_whole", "SELECT doc_id, len(regexp_extract_all(upper(text), 'THAT|NTNN')) AS hits FROM documents")
+def pattern_hits_whole(t):
+    return X.pattern_counts(t.documents.select("doc_id", F.col("text").alias("seq")), "that").select("doc_id", F.col("hits").cast("bigint").alias("hits"))
+
+
 @query("pattern_offsets")
 def pattern_offsets(t):
-    return X.pattern_offsets(t.documents.filter("lang = 'en'"), ["that", "there", "gattaca"], id_col="doc_id", seq="text")
+    return X.pattern_offsets(t.documents, ["that", "there", "gattaca"], id_col="doc_id", seq="text")
 
 
 @query("trigram_candidates", "WITH b AS (SELECT conv_id // 8 AS block, lower(text) AS t FROM conversations) SELECT DISTINCT block FROM b GROUP BY block HAVING bool_or(contains(t, 'the')) AND bool_or(contains(t, 'her')) AND bool_or(contains(t, 'ere'))")
