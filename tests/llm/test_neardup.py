@@ -128,3 +128,10 @@ def test_pairs_in_the_middle_of_a_bucket_without_other_links(spark, tmp_path):
     want = {i: i for i in range(len(texts))} | {max(at[a], at[b]): min(at[a], at[b]) for a, b in twins}
     got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, list(enumerate(texts)))).collect()}
     assert got == want
+
+
+def test_pairs_with_two_equal_samples(spark, tmp_path):
+    """4 against 5 k-mers, similarity 0.8; these pairs agree in two samples only."""
+    pairs = [(2 * i + e, " ".join(f"s{i}x{j}" for j in range(8 + e))) for i in (4807, 5614, 13879, 17726, 18624, 19033) for e in range(2)]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()}
+    assert got == {i: i - i % 2 for i, _ in pairs}

@@ -9,7 +9,7 @@ A candidate pair is a link when its k-mer sequences, aligned in a band, share en
 longest common subsequence, c / (a + b - c) >= 0.8. That is the Jaccard index of the k-mers where their order
 agrees, and at that level the alignment can't leave the band, whose width follows from the threshold. With samples
 of ``ELL`` k-mers, a pair at the threshold agrees in one sample with probability about 0.8 ** ELL (a half), and is
-missed by all ``SAMPLES`` with probability about 6e-8 (4.7e-6 for 4 against 5 k-mers, where it is 0.4).
+missed by all ``SAMPLES`` with probability about 3e-8 (4.7e-6 for 4 against 5 k-mers, where it is 0.4).
 
 Scale: texts with the same words collapse first, so copies meet as one. In a bucket each text is paired with the
 smallest and the largest text id only, never all with all; buckets are reduced before the exchange and joined back
