@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +98,46 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+#: Bits for each value of a filter that keeps rows without a partner out of the exchange, and the most it may have (32 MB).
+VALUE_BITS = 16
+FILTER_BITS = 1 << 28
+
+
+def maybe_among(few: DataFrame, column: str, n: int):
+    """A Bloom filter of the ``n`` rows of ``few``: a function of a column of longs, or of arrays of them, that is true where any
+    is in ``few`` (and now and then where none is). None where it would have more than ``FILTER_BITS`` bits.
+    """
+    size = 1 << max(16, (VALUE_BITS * n - 1).bit_length())
+    if size > FILTER_BITS:
+        return None
+    hashed = [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(size)) for k in range(2)]
+    step = F.lit(size - 1)
+    bits = few.select(F.explode(F.array(hashed[0], hashed[1], (hashed[0] + 2 * hashed[1] + 1).bitwiseAND(step), (hashed[0] + 4 * hashed[1] + 3).bitwiseAND(step))).alias("bit"))
+    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toArrow()  # bounded by FILTER_BITS / 64
+    table = np.zeros(size // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+    shared = few.sparkSession.sparkContext.broadcast(table)
+
+    def held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        have = np.ones(len(a), bool)
+        for bit in (a, b, (a + 2 * b + 1) & (size - 1), (a + 4 * b + 3) & (size - 1)):
+            have &= (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return have
+
+    @F.pandas_udf("boolean")
+    def any_held(first: pd.Series, second: pd.Series) -> pd.Series:
+        sizes = np.fromiter((len(x) for x in first), np.int64, len(first))
+        if not sizes.sum():
+            return pd.Series(np.zeros(len(first), bool))
+        have = held(np.concatenate(first.tolist()).astype(np.int64), np.concatenate(second.tolist()).astype(np.int64))
+        found = np.zeros(len(first), bool)
+        found[np.repeat(np.arange(len(first)), sizes)[have]] = True
+        return pd.Series(found)
+
+    hashes = lambda values, k: F.transform(values, lambda x: F.pmod(F.xxhash64(x, F.lit(k)), F.lit(size)))
+    return lambda values: any_held(hashes(values, 0), hashes(values, 1))
+
+
 class Memo(dict):
     """A bounded cache of two generations: ``memo[key]`` computes and keeps (no value is None).
 

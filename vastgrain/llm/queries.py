@@ -110,21 +110,33 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _license_sql() -> str:
-    """The scan without filters: every block against every template, and every place of every phrase."""
+    """The scan without filters: every block against every template and its rivals, and every place of every phrase."""
     phrases = ", ".join(f"({words.split()!r}, '{label}')" for words, label in licenses.PHRASES)
-    templates = ", ".join(f"({i}, '{label}', {sorted(set(words.split()))!r}, {licenses.need_of(len(set(words.split())))})" for i, (words, label) in enumerate(licenses.TEMPLATES))
-    half = licenses.BLOCK_WORDS // 2
+    templates = ", ".join(f"({i}, '{label}', {sorted(set(words.split()))!r}, {licenses.half_window(words)})" for i, (words, label) in enumerate(licenses.TEMPLATES))
+    need = "CAST(ceil(0.8 * len({0}) - 1e-9) AS INT)"
+    common = "len(list_intersect({0}, {1}))"
+    share = "CASE WHEN len({0}) = 0 THEN 0.0 ELSE len(list_intersect(ws, {0})) / len({0}) END"
     return f"""
         WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_GAP}') AS ws FROM documents),
         ph AS (SELECT * FROM (VALUES {phrases}) v(p, label)),
-        tp AS (SELECT * FROM (VALUES {templates}) v(t, label, tokens, need)),
+        tp AS (SELECT * FROM (VALUES {templates}) v(t, label, tokens, half)),
+        rival AS (
+            SELECT a.t, b.t AS r, [x FOR x IN a.tokens IF NOT list_contains(b.tokens, x)] AS own, [x FOR x IN b.tokens IF NOT list_contains(a.tokens, x)] AS others
+            FROM tp a JOIN tp b ON a.label <> b.label AND {common.format('a.tokens', 'b.tokens')} >= ceil(0.8 * least(len(a.tokens), len(b.tokens)) - 1e-9)),
         word AS (SELECT doc_id, ws, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
         hit AS (SELECT doc_id, pos, label FROM word JOIN ph ON word = p[1] AND ws[pos + 1 : pos + len(p)] = p),
         base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list(DISTINCT label)) AS labels FROM hit GROUP BY doc_id),
-        tok AS (SELECT t, label, need, len(tokens) AS size, unnest(tokens) AS word FROM tp),
-        blk AS (SELECT doc_id, word, pos // {half} AS block FROM word WHERE word IN (SELECT word FROM tok) UNION SELECT doc_id, word, pos // {half} - 1 FROM word WHERE pos >= {half} AND word IN (SELECT word FROM tok)),
-        met AS (SELECT doc_id, any_value(label) AS label, count(*) / any_value(size) AS share FROM blk JOIN tok USING (word) GROUP BY doc_id, block, t HAVING count(*) >= any_value(need)),
-        best AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS found FROM met GROUP BY doc_id)
+        tok AS (SELECT DISTINCT half, unnest(tokens) AS word FROM tp),
+        held AS (
+            SELECT doc_id, half, b AS block, list(DISTINCT word) AS ws
+            FROM (SELECT doc_id, half, word, unnest([pos // half, pos // half - 1]) AS b FROM word JOIN tok USING (word)) WHERE b >= 0 GROUP BY ALL),
+        met AS (
+            SELECT held.*, t, label, {common.format('ws', 'tokens')} / len(tokens) AS share FROM held JOIN tp USING (half) WHERE {common.format('ws', 'tokens')} >= {need.format('tokens')}
+            AND NOT EXISTS (SELECT 1 FROM rival WHERE rival.t = tp.t AND {common.format('held.ws', 'own')} < ceil(0.8 * len(own) - 1e-9))),
+        lost AS (
+            SELECT a.doc_id, a.half, a.block, a.t FROM met a JOIN met b ON a.doc_id = b.doc_id AND a.half = b.half AND a.block = b.block JOIN rival ON rival.t = a.t AND rival.r = b.t
+            WHERE {share.format('others').replace('ws', 'a.ws')} > {share.format('own').replace('ws', 'a.ws')}),
+        best AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS found FROM met ANTI JOIN lost USING (doc_id, half, block, t) GROUP BY doc_id)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(labels, ','), '') AS base_labels,
             coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ','), '') AS labels,
             CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
@@ -137,9 +149,9 @@ def _warc_sql() -> str:
     digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(p.h, {at}, 10) AS BIGINT) >> {shift}) & 31) AS INT) + 1, 1)"
     digest = " || ".join(digit.format(at=1 + 10 * i, shift=35 - 5 * j) for i in range(4) for j in range(8))
     return f"""
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages), k AS (SELECT h, n, max(page_id) AS keeper FROM p GROUP BY 1, 2)
-        SELECT page_id, p.n AS payload_bytes, {digest} AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
-        FROM p JOIN k ON k.h = p.h AND k.n = p.n
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY h, n ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER (PARTITION BY h, n) AS keeper FROM p)
+        SELECT page_id, p.n AS payload_bytes, {digest} AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN keeper END AS refers_to
+        FROM k AS p
     """
 
 

@@ -6,12 +6,17 @@ Reading joins the three through those identifiers and gives one nested row a cap
 
 Files are written with Spark's text writer and read with its binary reader, so they can be in any store Spark
 reaches. A record ends with two line breaks, which is the writer's line separator, so the files are
-WARC/1.1 byte for byte, plain or as one gzip member. ``records_per_file`` bounds a file; the reader holds one
-file at a time.
+WARC/1.1 byte for byte, plain or as one gzip member. A file holds captures of at most ``FILE_BYTES`` of payload, or one
+capture that is larger; the reader holds one file at a time.
 
-Cases: a null payload is empty; rows with the same id and payload are one capture (assembled once); a null url
-becomes ``about:blank``; records without a partner still give a row, with null for what is missing; an empty
-table makes an empty archive. Payloads may hold anything, also text that looks like a record.
+Every row is a capture of its own, known by a row key that is stored before anything is written. Of rows with equal
+payloads one is the response, and revisits of it need no payload, so payloads cross the network only where a filter of
+checked size says that they may repeat.
+
+Cases: a null payload is empty; repeated rows are captures of their own, one of them the response and the others revisits
+of it; a null id is smaller than any other and comes back as null; a null url becomes ``about:blank``; other columns are
+ignored; records without a partner still give a row, with null for what is missing; an empty table makes an empty archive.
+Payloads may hold anything, also text that looks like a record. A payload is one value of a column, so it has less than 2 GiB.
 """
 
 from __future__ import annotations
@@ -20,17 +25,21 @@ import base64
 import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import ROW, forget, keyed_table, map_batches, materialize, maybe_among
 
 BREAK = "\r\n"
 VERSION = "WARC/1.1"
 RECORDS_PER_FILE = 3000
+#: Bytes of payload a file may hold, and the payload sizes that part pages into classes of their own files.
+FILE_BYTES = 64 << 20
+SIZE_CLASSES = (64 << 10, 4 << 20)
 
 
 def _uri(kind: str, key: Column) -> Column:
@@ -50,51 +59,82 @@ def base32_sha1(hex_digest: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def choose_revisits(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Add ``refers_to``: the largest capture_id of an equal payload, null for that capture itself and for payloads under ``min_bytes``.
+def choose_responses(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The response of each payload of at least ``min_bytes`` that several rows have, written: ``payload_sha1, payload_bytes, keeper``.
 
-    ``captures`` has ``capture_id, payload_sha1 (hex), payload_bytes``. Groups are reduced before the exchange; the
-    join back is skew-safe (adaptive), and only payloads that repeat take part.
+    ``captures`` has :data:`ROW`, ``capture_id, payload_sha1 (hex), payload_bytes``. The largest capture_id stays, of equal ones the
+    largest row. Groups are reduced before the exchange.
     """
-    same = captures.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_sha1", "payload_bytes").agg(F.max("capture_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    keepers = materialize(same.filter("n > 1").drop("n"), "keepers")  # a plain table, so that a hot payload's join can be split
-    joined = captures.join(keepers, ["payload_sha1", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("keeper") != F.col("capture_id"), F.col("keeper"))).drop("keeper")
-
-
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
-    """Write an archive of request, response or revisit, and metadata records of every page."""
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    base = pages.select(F.col(id_col).alias("capture_id"), F.coalesce(F.regexp_replace(F.col(url_col), "[\\x00-\\x20]", ""), F.lit("about:blank")).alias("url"), payload.alias("payload"))
-    base = base.withColumn("payload_sha1", F.sha1("payload"))
-    digests = base.select("capture_id", "payload_sha1", F.octet_length("payload").cast("long").alias("payload_bytes")).distinct()
-    roles = choose_revisits(digests, min_bytes).filter("refers_to is not null").select("capture_id", "payload_sha1", "refers_to")
-    whole = base.join(roles, ["capture_id", "payload_sha1"], "left")
-    name = F.coalesce(F.col("capture_id").cast("string"), F.lit("null"))
-    key = F.concat(name, F.lit("/"), F.col("payload_sha1"))
-    own, at = _uri("response", key), F.lit(date)
-    digest = F.concat(F.lit("sha1:"), base32_sha1(F.col("payload_sha1")))
-    http = F.concat(F.lit("HTTP/1.1 200 OK" + BREAK + "Content-Type: text/html; charset=utf-8" + BREAK + "Content-Length: "), F.octet_length("payload").cast("string"), F.lit(BREAK * 2)).cast("binary")
-    again = F.col("refers_to").isNotNull()
-    body = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
+    same = captures.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_sha1", "payload_bytes").agg(F.max(F.struct("capture_id", ROW)).alias("best"), F.count(F.lit(1)).alias("n"))
+    return materialize(same.filter("n > 1").select("payload_sha1", "payload_bytes", F.col(f"best.{ROW}").alias("keeper")), "keepers")
+
+
+def split_roles(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(responses, revisits) of ``pages``, a table with :data:`ROW`, ``payload_sha1, payload_bytes`` and more; ``revisits`` has no ``payload`` but ``keeper``."""
+    keepers = choose_responses(pages.select(ROW, "capture_id", "payload_sha1", "payload_bytes"), min_bytes)
+    # A payload that many rows share is a hot key of this join; both sides are plain tables, so it is split.
+    again = pages.drop("payload").join(keepers, ["payload_sha1", "payload_bytes"]).filter(F.col("keeper") != F.col(ROW))
+    again = materialize(again, "revisits")
+    mark = F.xxhash64("payload_sha1", "payload_bytes")
+    maybe = maybe_among(keepers.select(mark.alias("mark")), "mark", keepers.count())
+    gone = again.select(ROW)
+    if maybe is None:
+        return pages.join(gone, ROW, "left_anti"), again
+    repeated = maybe(F.array(mark))
+    return pages.filter(~repeated).unionByName(pages.filter(repeated).join(gone, ROW, "left_anti")), again
+
+
+def _capture_records(captures: DataFrame, salt: str, date: str) -> DataFrame:
+    """The records of captures, one a row (``value``): revisits where there is a ``keeper``."""
+    revisit = "keeper" in captures.columns
+    key = lambda row: F.concat(F.lit(salt + "/"), F.col(row).cast("string"))
+    own, at, name = _uri("response", key(ROW)), F.lit(date), F.coalesce(F.col("capture_id").cast("string"), F.lit("null"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK" + BREAK + "Content-Type: text/html; charset=utf-8" + BREAK + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(BREAK * 2))
     response = _record(
         [
-            ("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", own), ("WARC-Date", at), ("WARC-Target-URI", F.col("url")),
-            ("WARC-Payload-Digest", digest), ("WARC-Refers-To", F.when(again, _uri("response", F.concat(F.col("refers_to").cast("string"), F.lit("/"), F.col("payload_sha1"))))),
-            ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", F.lit("application/http;msgtype=response")),
+            ("WARC-Type", F.lit("revisit" if revisit else "response")), ("WARC-Record-ID", own), ("WARC-Date", at), ("WARC-Target-URI", F.col("url")),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload_sha1")))),
+            *([("WARC-Refers-To", _uri("response", key("keeper"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))] if revisit else []),
+            ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
-        F.col("body").cast("string"),
+        http if revisit else F.concat(http, F.col("payload")),
     )
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uri("request", key)), ("WARC-Date", at), ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http;msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uri("request", key(ROW))), ("WARC-Date", at), ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http;msgtype=request"))],
         F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1" + BREAK * 2)),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uri("metadata", key)), ("WARC-Date", at), ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uri("metadata", key(ROW))), ("WARC-Date", at), ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("capture-id: "), name, F.lit(BREAK)),
     )
-    records = whole.withColumn("body", body).select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    return captures.select(F.explode(F.array(request, response, metadata)).alias("value"))
+
+
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+    """Write an archive of request, response or revisit, and metadata records of every page.
+
+    Payloads under ``min_bytes`` are all responses. Folders of ``path`` hold responses by the size of their payloads, and revisits.
+    """
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    base = pages.select(F.col(id_col).alias("capture_id"), F.coalesce(F.regexp_replace(F.col(url_col), "[\\x00-\\x20]", ""), F.lit("about:blank")).alias("url"), payload.alias("payload"))
+    keyed = keyed_table(base.withColumn("payload_sha1", F.sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long")))
+    responses, revisits = split_roles(keyed, min_bytes)
+    salt = uuid.uuid4().hex  # known before tasks begin, so one that runs again writes the same
+
+    def write(captures: DataFrame, name: str, records: int) -> None:
+        writer = _capture_records(captures, salt, date).write.option("lineSep", BREAK * 2).option("compression", compression)
+        writer.option("maxRecordsPerFile", max(3, min(records_per_file, records) // 3 * 3)).text(f"{path}/{name}")
+
+    edges = [0, *SIZE_CLASSES, 1 << 31]
+    size_class = F.lit(0)
+    for k, edge in enumerate(SIZE_CLASSES):
+        size_class = F.when(F.col("payload_bytes") >= edge, k + 1).otherwise(size_class)
+    held = {r[0] for r in keyed.select(size_class.alias("k")).distinct().collect()}  # of three
+    for k in sorted(held):
+        within = (F.col("payload_bytes") >= edges[k]) & (F.col("payload_bytes") < edges[k + 1])
+        write(responses.filter(within), f"responses-{k}", 3 * (FILE_BYTES // edges[k + 1]))
+    write(revisits, "revisits", RECORDS_PER_FILE)
+    forget(keyed)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
