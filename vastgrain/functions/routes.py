@@ -13,24 +13,32 @@ from .scalars import egress_cost
 ROUTE_RANK = ("local", "aws-odp", "ena-http", "ena-ftp", "http", "ftp", "ena-aspera", "sra-toolkit", "aws-requester", "gcp-requester", "manual")
 
 
-def rank_routes(routes: DataFrame) -> DataFrame:
-    """Add ``cost`` and ``place`` within each accession: by kind, then price (unknown last), then those whose tool is missing."""
+def ranked(routes: DataFrame, group: Sequence[str], kinds: Sequence, cost: str, tie: str) -> DataFrame:
+    """Add ``place`` within each group: by ``kinds`` (names or expressions), then cost (unknown last), then ``tie``."""
     from pyspark.sql import Window
 
+    order = Window.partitionBy(*group).orderBy(*kinds, F.coalesce(F.col(cost), F.lit(float("inf"))), tie)
+    return routes.withColumn("place", F.row_number().over(order))
+
+
+def rank_routes(routes: DataFrame) -> DataFrame:
+    """Add ``cost`` and ``place`` within each accession: by kind, then price (unknown last), then those whose tool is missing."""
     rank = F.array_position(F.array(*[F.lit(r) for r in ROUTE_RANK]), F.col("kind"))
-    priced = routes.withColumn("cost", egress_cost(F.col("bytes"), F.col("cost_class")))
-    order = Window.partitionBy("accession").orderBy(F.when(rank == 0, len(ROUTE_RANK) + 1).otherwise(rank), F.coalesce("cost", F.lit(float("inf"))), F.col("available").asc(), "url")
-    return priced.withColumn("place", F.row_number().over(order))
+    priced = routes.withColumn("cost", egress_cost(F.col("bytes"), F.col("cost_class"))).withColumn("__tie", F.struct("available", "url"))
+    return ranked(priced, ["accession"], [F.when(rank == 0, len(ROUTE_RANK) + 1).otherwise(rank)], "cost", "__tie").drop("__tie")
+
+
+def one_per_run(routes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``has_fastq, cost`` of one representation a run: the cheapest FASTQ where there is one, else the cheapest of the rest. ``routes`` has the key, ``has_fastq, cost``."""
+    fastq = F.col("has_fastq")
+    per = routes.groupBy(*key).agg(F.bool_or(fastq).alias("has_fastq"), F.min(F.when(fastq, F.col("cost"))).alias("__fastq"), F.min("cost").alias("__any"))
+    return per.select(*key, "has_fastq", F.when(F.col("has_fastq"), F.col("__fastq")).otherwise(F.col("__any")).alias("cost"))
 
 
 def cheapest(routes: DataFrame) -> DataFrame:
     """Per accession, over one representation a run (FASTQ before containers): 0 if any route is free, null if a run's only price is unknown."""
-    priced = routes.withColumn("cost", egress_cost(F.col("bytes"), F.col("cost_class")))
-    per_run = priced.groupBy("accession", "run").agg(
-        F.min(F.when(F.col("representation") == "fastq", F.col("cost"))).alias("fastq"), F.bool_or(F.col("representation") == "fastq").alias("has"), F.min("cost").alias("any")
-    )
-    price = F.when(F.col("has"), F.col("fastq")).otherwise(F.col("any"))
-    per = per_run.groupBy("accession").agg(F.sum(price).alias("known"), F.count_if(price.isNull()).alias("unknown"))
+    priced = routes.withColumn("cost", egress_cost(F.col("bytes"), F.col("cost_class"))).withColumn("has_fastq", F.col("representation") == "fastq")
+    per = one_per_run(priced, ["accession", "run"]).groupBy("accession").agg(F.sum("cost").alias("known"), F.count_if(F.col("cost").isNull()).alias("unknown"))
     return per.select("accession", F.when(F.col("unknown") == 0, F.col("known")).alias("cost"))
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,42 +21,38 @@ def book_fold(events: DataFrame, key: str = "id", order: str = "line", event: st
     return last_write(since, key, order, fields)
 
 
-CATALOGUE_SCHEMA = "key string, target string, facets map<string,string>, local_paths array<string>, bytes_streamed long, confident boolean, note string, last_seen double"
+_PAYLOAD = "target string, facets map<string,string>, local_paths array<string>, bytes_streamed long, confident boolean, note string, path string, bytes long"
 
 
 def catalogue_fold(events: DataFrame) -> DataFrame:
-    """The exact fold of a catalogue log, per key in line order; ``events`` has ``line, ts, event, key`` and the payload columns below.
+    """The exact fold of a catalogue log, per key in line order: ``key, target, facets, local_paths, bytes_streamed, confident, note,
+    last_seen``; ``events`` has ``line, ts, event, key`` and a JSON ``payload``.
 
     ``record`` replaces the entry; ``local`` appends a new path; ``stream`` adds bytes; ``annotate`` merges facets and sets what it
     names; ``open`` creates an entry only where none is. Other events before the first of these two are dropped.
+
+    An entry begins at its last record or, without one, its first open event; what comes later adds up in any order but
+    for last values, so each field is an aggregate with partial results, and a key's history is never gathered.
     """
-    import json
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        state: dict | None = None
-        key = frame["key"].iloc[0]
-        for row in frame.sort_values("line").to_dict("records"):
-            payload = json.loads(row["payload"]) if row["payload"] else {}
-            kind = row["event"]
-            if kind == "record":
-                state = {"target": payload.get("target", ""), "facets": dict(payload.get("facets") or {}), "local_paths": list(payload.get("local_paths") or []), "bytes_streamed": int(payload.get("bytes_streamed", 0)), "confident": payload.get("confident"), "note": payload.get("note", "")}
-            elif state is None:
-                if kind != "open":
-                    continue
-                state = {"target": payload.get("target", ""), "facets": {}, "local_paths": [], "bytes_streamed": 0, "confident": None, "note": ""}
-            elif kind == "local" and payload.get("path") not in state["local_paths"]:
-                state["local_paths"].append(payload.get("path"))
-            elif kind == "stream":
-                state["bytes_streamed"] += int(payload.get("bytes", 0))
-            elif kind == "annotate":
-                state["facets"] |= payload.get("facets") or {}
-                state |= {k: v for k, v in payload.items() if k in ("note", "confident", "target")}
-            state["last_seen"] = row["ts"]
-        if state is None:
-            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in CATALOGUE_SCHEMA.split(", ")})
-        return pd.DataFrame([{"key": key, **state}])
-
-    return events.select("line", F.col("ts").cast("double").alias("ts"), "event", "key", "payload").groupBy("key").applyInPandas(fold, CATALOGUE_SCHEMA)
+    marks = events.groupBy("key").agg(F.max(F.when(F.col("event") == "record", F.col("line"))).alias("__record"), F.min(F.when(F.col("event") == "open", F.col("line"))).alias("__open"))
+    since = events.join(marks.select("key", F.coalesce("__record", "__open").alias("__from")).filter("__from is not null"), "key").filter(F.col("line") >= F.col("__from"))
+    rows = since.select("key", "line", F.col("ts").cast("double").alias("ts"), (F.col("line") == F.col("__from")).alias("base"), "event", F.from_json(F.coalesce("payload", F.lit("{}")), _PAYLOAD).alias("p"))
+    base, record = F.col("base"), F.col("base") & (F.col("event") == "record")
+    told = lambda field, by: F.max_by(F.col(f"p.{field}"), F.when(by & F.col(f"p.{field}").isNotNull(), F.col("line")))
+    annotated = F.col("event") == "annotate"
+    streamed = F.when(record, F.col("p.bytes_streamed")).when(~base & (F.col("event") == "stream"), F.col("p.bytes"))
+    entry = rows.groupBy("key").agg(
+        F.coalesce(told("target", base | annotated), F.lit("")).alias("target"), F.coalesce(F.sum(streamed), F.lit(0)).cast("long").alias("bytes_streamed"),
+        told("confident", record | annotated).alias("confident"), F.coalesce(told("note", record | annotated), F.lit("")).alias("note"), F.max_by("ts", "line").alias("last_seen"),
+    )
+    # A facet's last value, and a path's first place; as many as the entry itself holds.
+    facets = rows.filter(record | annotated).select("key", "line", F.explode("p.facets").alias("name", "value")).groupBy("key", "name").agg(F.max_by("value", "line").alias("value"))
+    facets = facets.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("facets"))
+    paths = F.when(record, F.col("p.local_paths")).when(~base & (F.col("event") == "local"), F.array("p.path"))
+    paths = rows.select("key", "line", F.posexplode(paths).alias("at", "path")).groupBy("key", "path").agg(F.min(F.struct("line", "at")).alias("first"))
+    paths = paths.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "path"))), lambda x: x["path"]).alias("local_paths"))
+    whole = entry.join(facets, "key", "left").join(paths, "key", "left")
+    return whole.select("key", "target", F.coalesce("facets", F.create_map().cast("map<string,string>")).alias("facets"), F.coalesce("local_paths", F.array().cast("array<string>")).alias("local_paths"), "bytes_streamed", "confident", "note", "last_seen")
 
 
 def parse_log(lines: DataFrame, schema: str, need: Sequence[str]) -> DataFrame:
@@ -105,12 +100,21 @@ def trails(entries: DataFrame, key: str, op: str, session: str, t: str, nbytes:
 
 
 def coverage_grid(windows: DataFrame, extent: tuple[float, float, float, float], shape: int) -> DataFrame:
-    """How many windows (``x0, x1, y0, y1``) touch each cell of a shape x shape grid: ``j, i, n``. A window makes as many rows as it touches cells."""
+    """How many windows (``x0, x1, y0, y1``) touch each cell of a shape x shape grid: ``j, i, n``.
+
+    A window changes the count at its four corners only; running sums along both axes of the grid do the rest. So each window
+    makes four rows, which are summed before the exchange, and the sums run over shape x shape cells.
+    """
     ex0, ex1, ey0, ey1 = extent
     lo = lambda c, a, b: F.greatest(F.lit(0), F.floor((F.col(c) - a) * F.lit(shape) / F.lit(b - a)).cast("int"))
     hi = lambda c, a, b: F.least(F.lit(shape), F.ceil((F.col(c) - a) * F.lit(shape) / F.lit(b - a)).cast("int"))
     cells = windows.select(lo("x0", ex0, ex1).alias("i0"), hi("x1", ex0, ex1).alias("i1"), lo("y0", ey0, ey1).alias("j0"), hi("y1", ey0, ey1).alias("j1")).filter("i0 < i1 and j0 < j1")
-    return cells.select("j0", "j1", F.explode(F.expr("sequence(i0, i1 - 1)")).alias("i")).select("i", F.explode(F.expr("sequence(j0, j1 - 1)")).alias("j")).groupBy("j", "i").agg(F.count(F.lit(1)).alias("n"))
+    corner = lambda j, i, d: F.struct(F.col(j).alias("j"), F.col(i).alias("i"), F.lit(d).alias("d"))
+    corners = cells.select(F.explode(F.array(corner("j0", "i0", 1), corner("j0", "i1", -1), corner("j1", "i0", -1), corner("j1", "i1", 1))).alias("c"))
+    deltas = corners.groupBy("c.j", "c.i").agg(F.sum("c.d").alias("d"))
+    grid = windows.sparkSession.range(shape * shape).select(F.expr(f"cast(id div {shape} as int)").alias("j"), F.expr(f"cast(id % {shape} as int)").alias("i")).join(deltas, ["j", "i"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    along = grid.withColumn("d", F.sum("d").over(Window.partitionBy("j").orderBy("i")))
+    return along.withColumn("n", F.sum("d").over(Window.partitionBy("i").orderBy("j"))).filter("n > 0").select("j", "i", "n")
 
 
 def unsettled(entries: DataFrame, confident: str = "confident") -> DataFrame:
@@ -129,7 +133,13 @@ def status_report(pieces: DataFrame, statuses: Sequence[str]) -> DataFrame:
     spark = pieces.sparkSession
     dimension = spark.createDataFrame([(s, i) for i, s in enumerate(statuses)], "status string, rank int")
     per = pieces.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("bytes").isNull()).alias("unknown"))
-    return F.broadcast(dimension).join(per, "status", "left").select("status", "rank", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
+    return dimension.join(per, "status", "left").select("status", "rank", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
+
+
+def lru_victims_of(residents: DataFrame, cache: str, order: Sequence[str], need: int, size: str = "bytes", pinned: str = "pinned") -> DataFrame:
+    """The residents each cache gives up for ``need`` bytes: those in order (least recent first) until it has them, pinned ones never."""
+    before = F.sum(size).over(Window.partitionBy(cache).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return residents.filter(~F.col(pinned)).withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < need).drop("__before")
 
 
 def lru_victims(residents: list[tuple[str, int, float, bool]], need: int, capacity: int) -> list[str] | None:

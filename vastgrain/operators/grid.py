@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import range_lookup
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -139,9 +141,9 @@ def gene_offsets(points: DataFrame, gene: str = "gene") -> DataFrame:
 
 
 def gene_of_row(rows: DataFrame, offsets: DataFrame, row: str = "row") -> DataFrame:
-    """Add the gene whose range of rows holds the row; null where none does. ``offsets`` has a row a gene, so a broadcast range join."""
-    inside = (F.col(row) >= F.col("first_row")) & (F.col(row) < F.col("first_row") + F.col("n"))
-    return rows.join(F.broadcast(offsets), inside, "left").drop("first_row", "n")
+    """Add the gene whose range of rows holds the row; null where none does. An equi-join on buckets of row numbers."""
+    ranges = offsets.select("gene", F.col("first_row").alias("__first"), (F.col("first_row") + F.col("n")).alias("__end"))
+    return range_lookup(rows, ranges, row, "__first", "__end").drop("__first", "__end")
 
 
 def top_genes(points: DataFrame, k: int, gene: str = "gene", value: str = "count") -> DataFrame:

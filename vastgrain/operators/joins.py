@@ -64,7 +64,7 @@ def align_report(features: DataFrame) -> DataFrame:
 
 def zero_filled(panel: DataFrame, cells: DataFrame, matrix: DataFrame) -> DataFrame:
     """All (cell, gene) of a few cells and a panel; absent ones are 0. The product is panel-sized for each cell, so for a selection of cells only."""
-    grid = cells.select("cell").join(F.broadcast(panel.select("gene")), how="cross")
+    grid = cells.select("cell").crossJoin(panel.select("gene"))  # the optimiser checks a side's size before it broadcasts it
     return grid.join(matrix, ["cell", "gene"], "left").select("cell", "gene", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -144,6 +144,55 @@ def suffixed(rows: DataFrame, key: str, order: str, sep: str = "_") -> DataFrame
     return rows.withColumn("unique_key", F.when(n == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit(sep), n.cast("string"))))
 
 
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` after a merge of ``new`` by key, with ``action``: kept, new, same or updated. Both have the same columns; new values win."""
+    fields = [c for c in old.columns if c != key]
+    joined = old.select(key, F.struct(*fields).alias("__old")).join(new.select(key, F.struct(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in fields]).alias("__new")), key, "full")
+    action = F.when(F.col("__new").isNull(), "kept").when(F.col("__old").isNull(), "new").when(F.col("__old").eqNullSafe(F.col("__new")), "same").otherwise("updated")
+    return joined.select(key, action.alias("action"), F.coalesce("__new", "__old").alias("v")).select(key, *[f"v.{c}" for c in fields], "action")
+
+
+def merge_records(records: DataFrame, key: str, lists: dict[str, str], first: dict[str, str]) -> DataFrame:
+    """One record a key: ``n`` rows, the distinct sorted values of the ``lists`` columns, the smallest of the ``first`` ones (new name: column)."""
+    gathered = [F.array_sort(F.collect_set(c)).alias(name) for name, c in lists.items()]
+    return records.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *gathered, *[F.min(c).alias(name) for name, c in first.items()])
+
+
+def union_ragged(tables: Sequence[DataFrame]) -> DataFrame:
+    """All rows of tables with different columns; what a table lacks is null."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out
+
+
+def panel_join(measured: DataFrame, panel: DataFrame, genes: DataFrame, key: str = "symbol") -> DataFrame:
+    """Every panel gene with what is measured of it: ``name, found, canonical, known, measured, value``.
+
+    ``panel`` has ``name`` and is resolved through the gene map; ``known`` tells whether the map has it, ``measured`` whether a
+    row of ``measured`` (``gene, value``) does, by its canonical name. Panel genes are kept in any case.
+    """
+    resolved = with_fallback(resolve(panel.select("name"), genes)).withColumn("known", F.col("found").isNotNull())
+    per = measured.groupBy(F.upper("gene").alias("__gene")).agg(F.sum("value").alias("value"))
+    joined = resolved.withColumn("__gene", F.upper(F.coalesce("canonical", "name"))).join(per, "__gene", "left")
+    return joined.select("name", "found", "canonical", "known", F.col("value").isNotNull().alias("measured"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, first: str = "first", end: str = "end") -> DataFrame:
+    """Rows with the columns of the range ``[first, end)`` that holds ``at``; null where none does. Ranges don't overlap.
+
+    An equi-join: ranges go to the buckets they touch, whose width is the mean length of a range, so there are about
+    twice as many of these rows as ranges; a row looks into one bucket.
+    """
+    extent = ranges.agg(F.min(first).alias("lo"), F.max(end).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    width = max(1, int((extent["hi"] - extent["lo"]) // max(1, extent["n"]))) if extent["n"] else 1
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    touched = ranges.filter(F.col(first) < F.col(end)).withColumn("__b", F.explode(F.sequence(bucket(first), F.floor((F.col(end) - 1) / F.lit(width)).cast("long"))))
+    left, right = rows.withColumn("__b", bucket(at)).alias("l"), touched.alias("r")
+    inside = (F.col("l.__b") == F.col("r.__b")) & (F.col(f"l.{at}") >= F.col(f"r.{first}")) & (F.col(f"l.{at}") < F.col(f"r.{end}"))
+    return left.join(right, inside, "left").select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"r.{c}") for c in ranges.columns])
+
+
 def region_enrichment(region: DataFrame, background: DataFrame, min_count: float = 1) -> DataFrame:
     """Per gene: observed, expected (background share of the region's total), lfc, z, and the verdict. Both have ``gene, total``."""
     sums = background.agg(F.sum("total").alias("__bg")).crossJoin(region.agg(F.sum("total").alias("__fg")))  # one row each

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins as J
@@ -28,7 +28,7 @@ def prep(matrix: DataFrame, genes: DataFrame, path: str, min_counts: float = 0,
     var = spark.read.parquet(f"{path}/var")
     kept = obs.filter("kept").select("cell")
     chosen = var.filter("rank is not null").select("gene")
-    logged = M.normalised(matrix).join(kept, "cell", "left_semi").join(F.broadcast(chosen), "gene")  # n_top rows
+    logged = M.normalised(matrix).join(kept, "cell", "left_semi").join(chosen, "gene")
     n_kept = kept.count()
     stats = logged.groupBy("gene").agg(F.sum("logged").alias("s"), F.sum(F.col("logged") * F.col("logged")).alias("ss")).orderBy("gene").collect()  # a row a chosen gene
     means = [r["s"] / n_kept for r in stats]
@@ -51,12 +51,14 @@ def decode_categorical(codes: DataFrame, categories: DataFrame, code: str = "cod
 
 
 def checkpoint_before(wanted: DataFrame, checkpoints: DataFrame, at: str = "record") -> DataFrame:
-    """The last checkpoint (``start, offset``) at or before each record: one ordered pass a bucket of an index, as a bounded range join.
+    """The last checkpoint (``start, offset``) at or before each record; null where there is none.
 
-    Checkpoints are an index's (at most a few thousand), so they are broadcast.
+    A checkpoint holds up to the next one, so this is a look-up in ranges. The window runs over the checkpoints of one index.
     """
-    met = wanted.join(F.broadcast(checkpoints), F.col("start") <= F.col(at), "left")
-    return met.groupBy(at).agg(F.max("start").alias("start"), F.max_by("offset", "start").alias("offset"))
+    after = F.lead("start").over(Window.orderBy("start"))
+    top = wanted.agg(F.max(at)).first()[0]
+    ranges = checkpoints.select("start", "offset", F.coalesce(after, F.greatest(F.col("start"), F.lit(top).cast("long")) + 1).alias("__end"))
+    return J.range_lookup(wanted.select(at).distinct(), ranges, at, "start", "__end").drop("__end")
 
 
 def harmonise_long(table: DataFrame, gene_col: str, genes: DataFrame, key: str = "symbol") -> DataFrame:

@@ -53,7 +53,7 @@ def tile_similarity(profiles: DataFrame, tx: int, ty: int) -> DataFrame:
     norms = v.groupBy("tx", "ty").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     query = v.filter((F.col("tx") == tx) & (F.col("ty") == ty)).select("gene", F.col("v").alias("q"))
     qn = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    dots = v.join(F.broadcast(query), "gene").groupBy("tx", "ty").agg(F.sum(F.col("v") * F.col("q")).alias("dot"))  # the query has a row a gene
+    dots = v.join(query, "gene").groupBy("tx", "ty").agg(F.sum(F.col("v") * F.col("q")).alias("dot"))
     return dots.join(norms, ["tx", "ty"]).crossJoin(F.broadcast(qn)).select("tx", "ty", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
 
 
@@ -104,5 +104,5 @@ def softmax_evidence(evidence: DataFrame, priors: dict[str, float]) -> DataFrame
     labels = spark.createDataFrame(list(priors.items()), "label string, prior double")
     targets = evidence.select("target").distinct()
     sums = evidence.groupBy("target", "label").agg(F.sum("weight").alias("w"))
-    odds = targets.crossJoin(F.broadcast(labels)).join(sums, ["target", "label"], "left").withColumn("e", F.exp(F.col("prior") + F.coalesce("w", F.lit(0.0))))  # a row a label
+    odds = targets.crossJoin(labels).join(sums, ["target", "label"], "left").withColumn("e", F.exp(F.col("prior") + F.coalesce("w", F.lit(0.0))))  # a row a label
     return odds.withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("target"))).select("target", "label", "p")

@@ -113,13 +113,8 @@ def cells_window_semi(t):
     return matrix(t).join(inside, "cell", "left_semi")
 
 
-@query("panel_zero_fill", f"WITH {COO}, g AS (SELECT p_partkey AS gene FROM part WHERE p_partkey <= 20), c AS (SELECT o_orderkey AS cell FROM orders WHERE o_orderkey <= 200) SELECT c.cell, g.gene, coalesce(value, 0) AS value FROM c CROSS JOIN g LEFT JOIN coo ON coo.cell = c.cell AND coo.gene = g.gene")
+@query("panel_zero_fill", f"WITH {COO}, g AS (SELECT p_partkey AS gene FROM part WHERE p_partkey <= 20), c AS (SELECT o_orderkey AS cell FROM orders) SELECT c.cell, g.gene, coalesce(value, 0) AS value FROM c CROSS JOIN g LEFT JOIN coo ON coo.cell = c.cell AND coo.gene = g.gene")
 def panel_zero_fill(t):
-    return J.zero_filled(t.part.filter("p_partkey <= 20").select(F.col("p_partkey").alias("gene")), t.orders.filter("o_orderkey <= 200").select(F.col("o_orderkey").alias("cell")), matrix(t))
-
-
-@query("panel_zero_fill_whole", f"WITH {COO}, g AS (SELECT p_partkey AS gene FROM part WHERE p_partkey <= 20), c AS (SELECT o_orderkey AS cell FROM orders) SELECT c.cell, g.gene, coalesce(value, 0) AS value FROM c CROSS JOIN g LEFT JOIN coo ON coo.cell = c.cell AND coo.gene = g.gene")
-def panel_zero_fill_whole(t):
     return J.zero_filled(t.part.filter("p_partkey <= 20").select(F.col("p_partkey").alias("gene")), t.orders.select(F.col("o_orderkey").alias("cell")), matrix(t))
 
 
@@ -155,8 +150,8 @@ def pca(t):
     n = m.select("cell").distinct().count()
     top = M.variable_genes(M.qc_genes(m), n, 50).select("gene")
     norm = M.normalised(m)
-    stats = norm.join(F.broadcast(top), "gene").groupBy("gene").agg(F.sum("logged").alias("s"), F.sum(F.col("logged") * F.col("logged")).alias("ss")).orderBy("gene").collect()  # a row a chosen gene
+    stats = norm.join(top, "gene").groupBy("gene").agg(F.sum("logged").alias("s"), F.sum(F.col("logged") * F.col("logged")).alias("ss")).orderBy("gene").collect()  # a row a chosen gene
     means = [r["s"] / n for r in stats]
     devs = [(max(0.0, r["ss"] / n - (r["s"] / n) ** 2) * n / max(1, n - 1)) ** 0.5 for r in stats]
-    kept = norm.join(F.broadcast(top), "gene")
+    kept = norm.join(top, "gene")
     return M.pca(kept, [r["gene"] for r in stats], means, devs, n, 5)[2]

@@ -108,7 +108,7 @@ def evidence(pieces: DataFrame, measured: DataFrame | None = None, genes: DataFr
         out = out.unionByName(measured.select("gene", "piece", F.lit("R").alias("code")))
     if genes is not None:
         wide = pieces.filter("genome_wide").select(F.col("id").alias("piece"))
-        out = out.unionByName(genes.select("gene").join(F.broadcast(wide), how="cross").select("gene", "piece", F.lit("x").alias("code")))  # an inventory's screens: tens of rows
+        out = out.unionByName(genes.select("gene").crossJoin(wide).select("gene", "piece", F.lit("x").alias("code")))  # the optimiser checks the size of an inventory's screens
     return out
 
 

@@ -13,22 +13,21 @@ from .registry import Tables, query
 
 
 def features(t: Tables) -> DataFrame:
-    """Three pieces' name lists: parts bought in three years, in order of purchase; multiples of 7 have no id."""
-    year = F.year("l_shipdate")
-    return t.lineitem.filter(year.isin(1996, 1997, 1998)).select((year - 1996).alias("piece"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos"), F.expr("if(l_partkey % 7 = 0, null, l_partkey)").alias("id"))
+    """Seven pieces' name lists: parts bought in the seven years, in order of purchase; multiples of 7 have no id."""
+    return t.lineitem.select((F.year("l_shipdate") - 1992).alias("piece"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos"), F.expr("if(l_partkey % 7 = 0, null, l_partkey)").alias("id"))
 
 
-FEATURES = "f AS (SELECT year(l_shipdate) - 1996 AS piece, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey END AS id FROM lineitem WHERE year(l_shipdate) IN (1996, 1997, 1998)), g AS (SELECT piece, id, min(pos) AS pos FROM f WHERE id IS NOT NULL GROUP BY 1, 2)"
+FEATURES = "f AS (SELECT year(l_shipdate) - 1992 AS piece, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey END AS id FROM lineitem), g AS (SELECT piece, id, min(pos) AS pos FROM f WHERE id IS NOT NULL GROUP BY 1, 2)"
 
 
-@query("align_intersection", f"WITH {FEATURES} SELECT id, arg_min(pos, piece) AS pos FROM g GROUP BY id HAVING count(*) = 3")
+@query("align_intersection", f"WITH {FEATURES} SELECT id, arg_min(pos, piece) AS pos FROM g GROUP BY id HAVING count(*) = 7")
 def align_intersection(t):
-    return J.align(features(t), "intersection", 3).select("id", F.col("place.pos").alias("pos"))
+    return J.align(features(t), "intersection", 7).select("id", F.col("place.pos").alias("pos"))
 
 
 @query("align_union", f"WITH {FEATURES} SELECT id, count(*) AS pieces, min(piece) AS first_piece FROM g GROUP BY id")
 def align_union(t):
-    return J.align(features(t), "union", 3).select("id", "pieces", F.col("place.piece").cast("bigint").alias("first_piece"))
+    return J.align(features(t), "union", 7).select("id", "pieces", F.col("place.piece").cast("bigint").alias("first_piece"))
 
 
 @query("align_report", f"WITH {FEATURES} SELECT piece, count(*) AS n_in, count(DISTINCT id) AS mapped, count(id) - count(DISTINCT id) AS duplicate, count(*) - count(id) AS unmapped FROM f GROUP BY piece")
@@ -54,14 +53,14 @@ def gene_expand(t):
     return J.expand(names, members).select("member", "pos")
 
 
-EVIDENCE = "ev AS (SELECT l_partkey % 200 AS gene, l_suppkey % 10 AS piece, CASE l_linestatus || l_returnflag WHEN 'OA' THEN 'P' WHEN 'OR' THEN 'X' WHEN 'FA' THEN 'x' WHEN 'FN' THEN 'F' ELSE 'R' END AS code FROM lineitem WHERE l_quantity > 40)"
+EVIDENCE = "ev AS (SELECT l_partkey % 200 AS gene, l_suppkey % 10 AS piece, CASE l_linestatus || l_returnflag WHEN 'OA' THEN 'P' WHEN 'OR' THEN 'X' WHEN 'FA' THEN 'x' WHEN 'FN' THEN 'F' ELSE 'R' END AS code FROM lineitem)"
 CODES = f"{EVIDENCE}, co AS (SELECT gene, piece, CASE WHEN bool_or(code = 'P') THEN 'P' ELSE '' END || CASE WHEN bool_or(code = 'X') THEN 'X' ELSE '' END || CASE WHEN bool_or(code = 'x') THEN 'x' ELSE '' END || CASE WHEN bool_or(code = 'F') THEN 'F' ELSE '' END || CASE WHEN bool_or(code = 'R') THEN 'R' ELSE '' END AS codes FROM ev GROUP BY 1, 2)"
 
 
 def codes(t: Tables) -> DataFrame:
     both = F.concat("l_linestatus", "l_returnflag")
     code = F.when(both == "OA", "P").when(both == "OR", "X").when(both == "FA", "x").when(both == "FN", "F").otherwise("R")
-    return J.coverage_codes(t.lineitem.filter("l_quantity > 40").select(F.expr("l_partkey % 200").alias("gene"), F.expr("l_suppkey % 10").alias("piece"), code.alias("code")))
+    return J.coverage_codes(t.lineitem.select(F.expr("l_partkey % 200").alias("gene"), F.expr("l_suppkey % 10").alias("piece"), code.alias("code")))
 
 
 @query("coverage_codes", f"WITH {CODES} SELECT * FROM co")
@@ -163,15 +162,9 @@ def dispatch_explode(t):
     return x.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: d.cast("string")), ",").alias("docs"))
 
 
-@query("cohort_complete", "WITH s AS (SELECT user_id, CAST(ts AS DATE) AS d, list(DISTINCT event_type) FILTER (event_type IN ('click', 'view')) AS have FROM events WHERE user_id < 60 AND event_id % 3 <> 0 GROUP BY 1, 2) SELECT user_id AS subject, count(*) AS sessions FROM s GROUP BY 1 HAVING bool_and(len(coalesce(have, [])) = 2)")
+@query("cohort_complete", "WITH s AS (SELECT user_id, date_trunc('week', ts) AS d, list(DISTINCT event_type) FILTER (event_type IN ('click', 'view')) AS have FROM events GROUP BY 1, 2) SELECT user_id AS subject, count(*) AS sessions FROM s GROUP BY 1 HAVING bool_and(len(coalesce(have, [])) = 2)")
 def cohort_complete(t):
-    e = t.events.filter("user_id < 60 and event_id % 3 <> 0")
-    return J.complete_subjects(e.select(F.col("user_id").alias("subject"), F.to_date("ts").alias("session"), F.col("event_type").alias("sequence")), ["click", "view"])
-
-
-@query("cohort_complete_whole", "WITH s AS (SELECT user_id, CAST(ts AS DATE) AS d, list(DISTINCT event_type) FILTER (event_type IN ('click', 'view')) AS have FROM events GROUP BY 1, 2) SELECT user_id AS subject, count(*) AS sessions FROM s GROUP BY 1 HAVING bool_and(len(coalesce(have, [])) = 2)")
-def cohort_complete_whole(t):
-    return J.complete_subjects(t.events.select(F.col("user_id").alias("subject"), F.to_date("ts").alias("session"), F.col("event_type").alias("sequence")), ["click", "view"])
+    return J.complete_subjects(t.events.select(F.col("user_id").alias("subject"), F.date_trunc("week", "ts").alias("session"), F.col("event_type").alias("sequence")), ["click", "view"])
 
 
 @query("dup_suffix", "SELECT s_suppkey, CASE WHEN n = 1 THEN k ELSE k || '_' || n END AS unique_key FROM (SELECT s_suppkey, 'n' || s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)")
@@ -179,22 +172,20 @@ def dup_suffix(t):
     return J.suffixed(t.supplier.select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("k")), "k", "s_suppkey").select("s_suppkey", "unique_key")
 
 
-@query("one_per_run", "SELECT l_orderkey AS acc, l_partkey % 50 AS run, bool_or(l_returnflag = 'R') AS has_fastq, min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) AS cost FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2")
+@query("one_per_run", "SELECT l_orderkey AS acc, l_partkey % 50 AS run, bool_or(l_returnflag = 'R') AS has_fastq, min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) AS cost FROM lineitem GROUP BY 1, 2")
 def one_per_run(t):
-    fastq = F.col("l_returnflag") == "R"
-    return t.lineitem.filter("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("acc"), F.expr("l_partkey % 50").alias("run")).agg(F.bool_or(fastq).alias("has_fastq"), F.min(F.when(fastq, 0.0).otherwise(F.col("l_quantity"))).alias("cost"))
-
+    from ..functions.routes import one_per_run as chosen
 
-@query("one_per_run_whole", "SELECT l_orderkey AS acc, l_partkey % 50 AS run, bool_or(l_returnflag = 'R') AS has_fastq, min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) AS cost FROM lineitem GROUP BY 1, 2")
-def one_per_run_whole(t):
     fastq = F.col("l_returnflag") == "R"
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("acc"), F.expr("l_partkey % 50").alias("run")).agg(F.bool_or(fastq).alias("has_fastq"), F.min(F.when(fastq, 0.0).otherwise(F.col("l_quantity"))).alias("cost"))
+    return chosen(t.lineitem.select(F.col("l_orderkey").alias("acc"), F.expr("l_partkey % 50").alias("run"), fastq.alias("has_fastq"), F.when(fastq, 0.0).otherwise(F.col("l_quantity")).alias("cost")), ["acc", "run"])
 
 
 @query("route_rank", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN CAST('Infinity' AS DOUBLE) ELSE o_totalprice END, o_orderkey) AS INT) AS place FROM orders")
 def route_rank(t):
-    cost = F.when(F.col("o_orderstatus") == "P", F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
-    return t.orders.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority", cost, "o_orderkey")).alias("place"))
+    from ..functions.routes import ranked
+
+    routes = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("cost"))
+    return ranked(routes, ["o_custkey"], ["o_orderpriority"], "cost", "o_orderkey").select("o_orderkey", "place")
 
 
 @query("cheapest_cost", "SELECT c, CASE WHEN r > 0 AND b = 0 THEN NULL ELSE round(b / 1073741824.0::DOUBLE * r, 9) END AS usd FROM (SELECT o_orderkey AS c, o_custkey * 1000000 AS b, CASE o_orderkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.09 ELSE 0.12 END::DOUBLE AS r FROM orders)")
@@ -215,7 +206,7 @@ def describe_column_range(t):
     return Y.describe_range(t.events, "event_id", 1000, 3000, ["value", "user_id"]).select("name", *[F.round(c, 6).alias(c) for c in ("mean_in", "mean_all", "z")])
 
 
-@query("region_enrichment", "WITH bg AS (SELECT l_partkey AS gene, CAST(sum(l_quantity) AS BIGINT) AS t FROM lineitem GROUP BY 1), fg AS (SELECT l_partkey AS gene, CAST(sum(l_quantity) AS BIGINT) AS t FROM lineitem WHERE l_suppkey < 30 GROUP BY 1), j AS (SELECT bg.gene, coalesce(fg.t, 0)::DOUBLE AS o, bg.t / (SELECT sum(t) FROM bg) * (SELECT sum(t) FROM fg) AS e FROM bg LEFT JOIN fg ON fg.gene = bg.gene) SELECT gene, o AS observed, round(e, 6) AS expected, round(log2((o + 1) / (e + 1)), 6) AS lfc, round((o - e) / sqrt(e + 1), 5) AS z, CASE WHEN o >= 1 AND log2((o + 1) / (e + 1)) > 0 THEN 'enriched' WHEN e >= 1 AND log2((o + 1) / (e + 1)) < 0 THEN 'depleted' ELSE 'neither' END AS verdict FROM j")
+@query("region_enrichment", "WITH bg AS (SELECT l_partkey AS gene, CAST(sum(l_quantity) AS BIGINT) AS t FROM lineitem GROUP BY 1), fg AS (SELECT l_partkey AS gene, CAST(sum(l_quantity) AS BIGINT) AS t FROM lineitem WHERE l_suppkey < 30 GROUP BY 1), j AS (SELECT bg.gene, coalesce(fg.t, 0)::DOUBLE AS o, bg.t / (SELECT sum(t) FROM bg) * (SELECT sum(t) FROM fg) AS e FROM bg LEFT JOIN fg ON fg.gene = bg.gene) SELECT gene, o AS observed, round(e, 6) AS expected, CASE WHEN abs(log2((o + 1) / (e + 1))) < 5e-7 THEN 0.0 ELSE round(log2((o + 1) / (e + 1)), 6) END AS lfc, CASE WHEN abs((o - e) / sqrt(e + 1)) < 5e-6 THEN 0.0 ELSE round((o - e) / sqrt(e + 1), 5) END AS z, CASE WHEN o >= 1 AND log2((o + 1) / (e + 1)) > 0 THEN 'enriched' WHEN e >= 1 AND log2((o + 1) / (e + 1)) < 0 THEN 'depleted' ELSE 'neither' END AS verdict FROM j")
 def region_enrichment(t):
     per = lambda d: d.groupBy(F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").cast("bigint").alias("total"))
     return J.region_enrichment(per(t.lineitem.filter("l_suppkey < 30")), per(t.lineitem)).select("gene", "observed", F.round("expected", 6).alias("expected"), F.round("lfc", 6).alias("lfc"), F.round("z", 5).alias("z"), "verdict")
@@ -227,12 +218,11 @@ def evidence_softmax(t):
     return Y.softmax_evidence(ev, {"en": 0.5, "fr": 0.0, "de": -0.5}).withColumn("p", F.round("p", 6))
 
 
-@query("lru_prefix", "SELECT event_id FROM (SELECT event_id, sum(event_id % 50) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WHERE user_id = 7 AND event_type <> 'signup') WHERE coalesce(before, 0) < 300")
+@query("lru_prefix", "SELECT user_id, event_id FROM (SELECT user_id, event_id, sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WHERE event_type <> 'signup') WHERE coalesce(before, 0) < 300")
 def lru_prefix(t):
-    """Victims of a cache that needs 300 units: least recent first, pinned ones (signups) never. One user's residents only."""
-    mine = t.events.filter("user_id = 7 and event_type <> 'signup'")
-    before = F.sum(F.expr("event_id % 50")).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    return mine.withColumn("before", F.coalesce(before, F.lit(0))).filter("before < 300").select("event_id")
+    """Victims of each user's cache that needs 300 units: least recent first, pinned ones (signups) never."""
+    residents = t.events.select("user_id", "event_id", "ts", F.expr("event_id % 50").alias("bytes"), (F.col("event_type") == "signup").alias("pinned"))
+    return L.lru_victims_of(residents, "user_id", ["ts", "event_id"], 300).select("user_id", "event_id")
 
 
 @query("relabel_offset", "WITH m AS (SELECT c_nationkey AS tile, max(c_custkey % 40) AS top FROM customer GROUP BY 1), o AS (SELECT tile, coalesce(sum(top) OVER (ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM m) SELECT c_custkey, CASE WHEN c_custkey % 40 = 0 THEN 0 ELSE CAST(c_custkey % 40 + base AS BIGINT) END AS label FROM customer JOIN o ON tile = c_nationkey")
@@ -253,13 +243,8 @@ def bitpack_widths(t):
     return z.select("block", bit_width(F.col("r")).cast("bigint").alias("frame"), bit_width(F.coalesce("z", F.lit(0))).cast("bigint").alias("delta"))
 
 
-@query("spread_sample", "SELECT event_id, value FROM events WHERE event_id IN (SELECT i * 10000 // 40 FROM range(40) r(i))")
+@query("spread_sample", "SELECT event_id, value FROM events WHERE event_id IN (SELECT i * n // least(40, n) FROM range(40) r(i), (SELECT count(*) AS n FROM events) WHERE i < n)")
 def spread_sample(t):
-    return t.events.filter(F.col("event_id").isin(*Y.spread_indices(10_000, 40))).select("event_id", "value")
-
-
-@query("spread_sample_whole", "SELECT event_id, value FROM events WHERE event_id IN (SELECT i * n // least(40, n) FROM range(40) r(i), (SELECT count(*) AS n FROM events) WHERE i < n)")
-def spread_sample_whole(t):
     return t.events.filter(F.col("event_id").isin(*Y.spread_indices(t.events.count(), 40))).select("event_id", "value")
 
 
@@ -277,28 +262,18 @@ def read_plan_groups(t):
 def union_ragged_columns(t):
     a = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     b = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    return a.unionByName(b, allowMissingColumns=True)
+    return J.union_ragged([a, b])
 
 
 @query("record_merge", "SELECT c_nationkey AS rec, count(*) AS n, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS aliases, min(c_name) AS symbol FROM customer GROUP BY 1")
 def record_merge(t):
-    return t.customer.groupBy(F.col("c_nationkey").alias("rec")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("aliases"), F.min("c_name").alias("symbol"))
+    merged = J.merge_records(t.customer, "c_nationkey", lists={"aliases": "c_mktsegment"}, first={"symbol": "c_name"})
+    return merged.select(F.col("c_nationkey").alias("rec"), "n", F.array_join("aliases", ",").alias("aliases"), "symbol")
 
 
-@query("upsert_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'kept' WHEN a.doc_id IS NULL THEN 'new' WHEN a.n_chars = b.item_len THEN 'same' ELSE 'updated' END AS action FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 0) a FULL OUTER JOIN (SELECT doc_id, quality AS item_len FROM labels) b ON a.doc_id = b.doc_id")
+@query("upsert_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'kept' WHEN a.doc_id IS NULL THEN 'new' WHEN a.n_chars = b.item_len THEN 'same' ELSE 'updated' END AS action FROM (SELECT doc_id, n_chars FROM documents) a FULL OUTER JOIN (SELECT doc_id, quality AS item_len FROM labels) b ON a.doc_id = b.doc_id")
 def upsert_merge(t):
-    a = t.documents.filter("doc_id % 2 = 0").select("doc_id", "n_chars")
-    b = t.labels.select("doc_id", F.col("quality").alias("new"), F.lit(True).alias("has"))
-    j = a.join(b, "doc_id", "full")
-    return j.select("doc_id", F.when(F.col("has").isNull(), "kept").when(F.col("n_chars").isNull(), "new").when(F.col("n_chars") == F.col("new"), "same").otherwise("updated").alias("action"))
-
-
-@query("upsert_merge_whole", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'kept' WHEN a.doc_id IS NULL THEN 'new' WHEN a.n_chars = b.item_len THEN 'same' ELSE 'updated' END AS action FROM (SELECT doc_id, n_chars FROM documents) a FULL OUTER JOIN (SELECT doc_id, quality AS item_len FROM labels) b ON a.doc_id = b.doc_id")
-def upsert_merge_whole(t):
-    a = t.documents.select("doc_id", "n_chars")
-    b = t.labels.select("doc_id", F.col("quality").alias("new"), F.lit(True).alias("has"))
-    j = a.join(b, "doc_id", "full")
-    return j.select("doc_id", F.when(F.col("has").isNull(), "kept").when(F.col("n_chars").isNull(), "new").when(F.col("n_chars") == F.col("new"), "same").otherwise("updated").alias("action"))
+    return J.upsert(t.documents.select("doc_id", "n_chars"), t.labels.select("doc_id", F.col("quality").alias("n_chars")), "doc_id").select("doc_id", "action")
 
 
 @query("lazy_time_range", "SELECT event_id, value FROM events WHERE epoch(ts) >= 1704412800 AND epoch(ts) < 1704499200")

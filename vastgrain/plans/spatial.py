@@ -173,13 +173,8 @@ def weighted_centroid(t):
     return G.centroids(points(t), genes).withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
 
 
-@query("hit_profile", "SELECT least(31, (doc_id * 32) // 1000) AS bucket, count(*) AS n FROM documents WHERE doc_id BETWEEN 0 AND 1000 AND contains(text, 'the') GROUP BY 1")
+@query("hit_profile", "WITH e AS (SELECT min(doc_id) AS lo, greatest(max(doc_id), min(doc_id) + 1) AS hi FROM documents) SELECT least(31, ((doc_id - lo) * 32) // (hi - lo)) AS bucket, count(*) AS n FROM documents, e WHERE contains(text, 'the') GROUP BY 1")
 def hit_profile(t):
-    return G.hit_profile(t.documents.filter(F.col("text").contains("the")), 0, 1000, 32, "doc_id")
-
-
-@query("hit_profile_whole", "WITH e AS (SELECT min(doc_id) AS lo, greatest(max(doc_id), min(doc_id) + 1) AS hi FROM documents) SELECT least(31, ((doc_id - lo) * 32) // (hi - lo)) AS bucket, count(*) AS n FROM documents, e WHERE contains(text, 'the') GROUP BY 1")
-def hit_profile_whole(t):
     lo, hi = t.documents.agg(F.min("doc_id"), F.max("doc_id")).first()
     lo = lo or 0
     return G.hit_profile(t.documents.filter(F.col("text").contains("the")), lo, max(hi or 0, lo + 1), 32, "doc_id")

@@ -32,13 +32,8 @@ def size_human(t):
     return t.documents.select("doc_id", S.human_size(F.col("n_chars") * F.col("n_chars")).alias("size"))
 
 
-@query("revcomp", "SELECT doc_id, translate(reverse(regexp_replace(translate(substr(text, 1, 60), 'atugcrykm', 'ATUGCRYKM'), '[^ATUGCRYKM]', 'N', 'g')), 'ATUGCRYKM', 'TAACGYRMK') AS rc FROM documents")
+@query("revcomp", "SELECT doc_id, translate(reverse(regexp_replace(translate(text, 'atugcrykm', 'ATUGCRYKM'), '[^ATUGCRYKM]', 'N', 'g')), 'ATUGCRYKM', 'TAACGYRMK') AS rc FROM documents")
 def revcomp(t):
-    return t.documents.select("doc_id", S.reverse_complement(F.substring("text", 1, 60)).alias("rc"))
-
-
-@query("revcomp_whole", "SELECT doc_id, translate(reverse(regexp_replace(translate(text, 'atugcrykm', 'ATUGCRYKM'), '[^ATUGCRYKM]', 'N', 'g')), 'ATUGCRYKM', 'TAACGYRMK') AS rc FROM documents")
-def revcomp_whole(t):
     return t.documents.select("doc_id", S.reverse_complement(F.col("text")).alias("rc"))
 
 
@@ -110,13 +105,8 @@ def vocab_facets_more(t):
     return _literal(t, [PROTOCOLS[0], PROTOCOLS[3], PROTOCOLS[4]]).select("s", V.primary_assay(s).alias("primary_assay"), V.disease(s).alias("disease"))
 
 
-@query("text_normalise", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents WHERE lang = 'en'")
+@query("text_normalise", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents")
 def text_normalise(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", F.md5(V.normalise(F.col("text"))).alias("h"))
-
-
-@query("text_normalise_whole", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents")
-def text_normalise_whole(t):
     return t.documents.select("doc_id", F.md5(V.normalise(F.col("text"))).alias("h"))
 
 
@@ -132,39 +122,21 @@ def natural_sort(t):
     return t.documents.select("source").distinct().select("source", F.row_number().over(Window.orderBy(S.natural_key(F.col("source")))).alias("place"))
 
 
-@query("seq_buckets", "SELECT doc_id // 64 AS bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, min(length(text)) AS min_len, max(length(text)) AS max_len, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc, round(sum(length(text) - length(translate(text, 'Nn', ''))) / sum(length(text)), 9) AS n_frac FROM documents WHERE lang = 'en' GROUP BY 1")
+@query("seq_buckets", "SELECT doc_id // 64 AS bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, min(length(text)) AS min_len, max(length(text)) AS max_len, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc, round(sum(length(text) - length(translate(text, 'Nn', ''))) / sum(length(text)), 9) AS n_frac FROM documents GROUP BY 1")
 def seq_buckets(t):
-    b = X.read_buckets(t.documents.filter("lang = 'en'"), 64, "doc_id", "text")
-    return b.select("bucket", "n", "bases", F.col("min_len").cast("bigint").alias("min_len"), F.col("max_len").cast("bigint").alias("max_len"), F.round("gc", 9).alias("gc"), F.round("n_frac", 9).alias("n_frac"))
-
-
-@query("seq_buckets_whole", "SELECT doc_id // 64 AS bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, min(length(text)) AS min_len, max(length(text)) AS max_len, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc, round(sum(length(text) - length(translate(text, 'Nn', ''))) / sum(length(text)), 9) AS n_frac FROM documents GROUP BY 1")
-def seq_buckets_whole(t):
     b = X.read_buckets(t.documents, 64, "doc_id", "text")
     return b.select("bucket", "n", "bases", F.col("min_len").cast("bigint").alias("min_len"), F.col("max_len").cast("bigint").alias("max_len"), F.round("gc", 9).alias("gc"), F.round("n_frac", 9).alias("n_frac"))
 
 
-@query("seq_zoom", "SELECT (doc_id // 16 - 0) // 4 AS grp, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc FROM documents WHERE lang = 'en' AND doc_id // 16 < 63 GROUP BY 1")
+@query("seq_zoom", "WITH e AS (SELECT greatest(1, (max(doc_id // 16) + 1 + 15) // 16) AS size FROM documents) SELECT (doc_id // 16) // size AS grp, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc FROM documents, e GROUP BY 1")
 def seq_zoom(t):
-    b = X.read_buckets(t.documents.filter("lang = 'en'"), 16, "doc_id", "text")
-    return X.zoom_buckets(b, 0, 63, 16).select("grp", "n", "bases", F.round("gc", 9).alias("gc"))
-
-
-@query("seq_zoom_whole", "WITH e AS (SELECT greatest(1, (max(doc_id // 16) + 1 + 15) // 16) AS size FROM documents) SELECT (doc_id // 16) // size AS grp, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bases, round(sum(length(text) - length(translate(text, 'GCgc', ''))) / sum(length(text)), 9) AS gc FROM documents, e GROUP BY 1")
-def seq_zoom_whole(t):
     b = X.read_buckets(t.documents, 16, "doc_id", "text")
     top = t.documents.agg(F.max(F.expr("doc_id div 16"))).first()[0] or 0
     return X.zoom_buckets(b, 0, top + 1, 16).select("grp", "n", "bases", F.round("gc", 9).alias("gc"))
 
 
-@query("pattern_hits", "SELECT doc_id, len(regexp_extract_all(upper(text), 'THAT|NTNN')) AS hits FROM documents WHERE lang = 'en'")
+@query("pattern_hits", "SELECT doc_id, len(regexp_extract_all(upper(text), 'THAT|NTNN')) AS hits FROM documents")
 def pattern_hits(t):
-    """The pattern on either strand; letters outside the alphabet complement to N."""
-    return X.pattern_counts(t.documents.filter("lang = 'en'").select("doc_id", F.col("text").alias("seq")), "that").select("doc_id", F.col("hits").cast("bigint").alias("hits"))
-
-
-@query("pattern_hits_whole", "SELECT doc_id, len(regexp_extract_all(upper(text), 'THAT|NTNN')) AS hits FROM documents")
-def pattern_hits_whole(t):
     return X.pattern_counts(t.documents.select("doc_id", F.col("text").alias("seq")), "that").select("doc_id", F.col("hits").cast("bigint").alias("hits"))
 
 
@@ -181,9 +153,8 @@ def trigram_candidates(t):
 
 @query("text_contains", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'there')")
 def text_contains(t):
-    lines = t.conversations.select("conv_id", "turn", F.col("conv_id").alias("line"), "text")
-    index = X.trigram_index(lines, 8)
-    return X.search_lines(lines, "There", index=index, block_lines=8).select("conv_id", "turn")
+    """No index is stored for these tables, so the lines are scanned once."""
+    return X.search_lines(t.conversations, "There").select("conv_id", "turn")
 
 
 @query("keyword_find", "SELECT doc_id FROM documents WHERE contains(lower(source || ' ' || text), 'license')")
@@ -210,18 +181,5 @@ def oversized(t):
 
 @query("shared_passages", "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def shared_passages(t):
-    """Planted strings: benchmark items that stand in documents whole. One automaton over all items, broadcast (a bounded set of queries)."""
-    items = [(r["item_id"], r["text"]) for r in t.benchmark.select("item_id", "text").collect()]
-
-    def run(frames):
-        import ahocorasick
-        import pandas as pd
-
-        a = ahocorasick.Automaton()
-        for i, text in items:
-            a.add_word(text, i)
-        a.make_automaton()
-        for f in frames:
-            yield pd.DataFrame(sorted({(i, d) for d, text in zip(f["doc_id"], f["text"], strict=True) for _, i in a.iter(text or "")}), columns=["item_id", "doc_id"])
-
-    return t.documents.select("doc_id", "text").mapInPandas(run, "item_id long, doc_id long")
+    """Planted strings: benchmark items that stand in documents whole."""
+    return X.contained_items(t.benchmark, t.documents)
