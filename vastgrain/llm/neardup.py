@@ -11,13 +11,17 @@ agrees, and at that level the alignment can't leave the band, whose width follow
 of ``ELL`` k-mers, a pair at the threshold agrees in one sample with probability about 0.8 ** ELL (a half), and is
 missed by all ``SAMPLES`` with probability about 3e-8 (4.7e-6 for 4 against 5 k-mers, where it is 0.4).
 
-Scale: texts with the same words collapse first, so copies meet as one. In a bucket each text is paired with the
-smallest and the largest text id only, never all with all; buckets are reduced before the exchange and joined back
-on a key that adaptive execution splits. Links become classes by alternating star contraction on DataFrames. Where a
-bucket then still holds several classes (a passage many texts share), its texts are dealt anew by pairs of samples,
-round by round until no further link is found. What is left then, texts in buckets of several classes, goes through an
-exact join over its rare k-mers, so that every pair which shares a sample is linked if it is alike or else tested or
-ruled out by its counts. Nothing of the corpus reaches the driver but a table of counts of fixed size.
+Scale: texts with the same words collapse first, so copies meet as one. Then three steps, each on the classes the ones
+before have made:
+
+1. buckets of the first ``FIRST`` samples: each text meets the bucket's smallest and largest text;
+2. buckets of all samples, reduced to one text of each class: it meets those of the bucket's smallest and largest class;
+3. every bucket that still holds several classes: all pairs of texts of different classes in it, by an exact prefix join
+   over their rare k-mers. So each pair that shares a sample is in one class, or tested, or ruled out by its counts.
+
+No bucket's texts are paired all with all; buckets are reduced before the exchange and joined back on a key that adaptive
+execution splits. Links become classes by alternating star contraction on DataFrames. Nothing of the corpus reaches the
+driver but a table of counts of fixed size and filters whose size is checked, with a plain join beyond it.
 
 Cases: null counts as empty; texts without a word are all alike (one class); texts of fewer words than a k-mer
 have one k-mer, all their words; repeated rows are copies; a null doc_id is smallest; extra columns are ignored.
@@ -29,13 +33,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Memo, forget, keyed_table, map_batches, materialize, text_of
+from .common import ROW, Memo, forget, keyed_table, map_batches, materialize, maybe_among, text_of
 
 WORD = re.compile(r"\w+")
 WORDS = 5
@@ -43,14 +46,18 @@ THRESHOLD = 0.8
 ELL = 3
 SAMPLES = 24
 MEMO_WORDS = 300_000
-#: Samples a pair has to share before its texts are fetched in the first rounds; the exact join at the end asks for one.
+#: Samples that part the large groups of copies before the others are looked at.
+FIRST = 4
+#: Samples a pair has to share before its texts are fetched in the first two steps; the exact join at the end asks for one.
 AGREE = 3
 #: Slots of the table of k-mer counts by which the exact join orders k-mers (8 MB); sharing a slot costs time only.
 SLOTS = 1 << 20
 #: Symbols of one side taken at a time in the banded alignment.
 STEP = 512
-#: Bits of the filter that keeps texts without a partner out of the exchange (4 MB).
-FILTER_BITS = 1 << 25
+#: Cells of a text's table of labelled k-mers, by which pairs are ruled out before their texts are fetched.
+CELLS = 256
+#: K-mers of one text hashed at a time.
+CHUNK = 1 << 15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,7 +76,7 @@ class Shingles:
     def tokens(self, text: str) -> np.ndarray:
         """A hash for each word."""
         memo = self.memo
-        return np.fromiter((memo[w] for w in WORD.findall(text.lower())), np.uint64)
+        return np.fromiter(map(memo.__getitem__, WORD.findall(text.lower())), np.uint64)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """A hash for each k-mer, in text order."""
@@ -94,20 +101,35 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return _mix(kmers + out * np.uint64(0xD6E8FEB86659FD93))
 
 
-def order_minhash(kmers: np.ndarray, samples: int = SAMPLES, ell: int = ELL) -> np.ndarray:
-    """One hash for each sample: of its ``ell`` smallest labelled k-mers (or all there are) in text order."""
-    marks = labelled(kmers)
-    out = np.zeros(samples, np.uint64)
-    for j in range(samples):
-        values = _mix(marks ^ np.uint64((0x9E3779B97F4A7C15 * (j + 1)) & 0xFFFFFFFFFFFFFFFF))
-        at = np.sort(np.argpartition(values, ell)[:ell]) if len(values) > ell else np.arange(len(values))
-        h = np.uint64(j)
-        for v in values[at]:
-            h = np.uint64((int(h) * 0x100000001B3 + int(v)) & 0xFFFFFFFFFFFFFFFF)
-        out[j] = h
+def order_minhash(marks: np.ndarray, samples: int = SAMPLES, ell: int = ELL) -> np.ndarray:
+    """One hash for each sample of a text's labelled k-mers: of the ``ell`` smallest (or all there are) in text order."""
+    numbers = np.arange(1, samples + 1, dtype=np.uint64)
+    seeds = (numbers * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    least, places = np.zeros((samples, 0), np.uint64), np.zeros((samples, 0), np.int64)
+    every = np.arange(samples)
+    for lo in range(0, len(marks), CHUNK):  # what is held doesn't grow with the text
+        values = np.concatenate([least, _mix(marks[None, lo : lo + CHUNK] ^ seeds)], axis=1)
+        behind = lo - least.shape[1]
+        picked, found = [], []
+        for _ in range(min(ell, values.shape[1])):
+            at = values.argmin(axis=1)
+            picked.append(values[every, at])
+            found.append(np.where(at < least.shape[1], places[every, np.minimum(at, places.shape[1] - 1)], at + behind) if places.shape[1] else at + behind)
+            values[every, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        least, places = np.stack(picked, axis=1), np.stack(found, axis=1)
+    in_order = np.take_along_axis(least, np.argsort(places, axis=1), axis=1)
+    out = numbers - np.uint64(1)
+    for k in range(in_order.shape[1]):
+        out = out * np.uint64(0x100000001B3) + in_order[:, k]
     return out
 
 
+def cells(marks: np.ndarray) -> list[int] | None:
+    """How many of a text's labelled k-mers fall into each of ``CELLS`` cells; None where a count is over 127 (a text of some 30,000 words)."""
+    held = np.bincount((_mix(marks) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return held.tolist() if held.max(initial=0) < 128 else None
+
+
 def common_length(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence in which positions differ by at most about ``band``.
 
@@ -160,58 +182,44 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
         return float(x == y)
     if min(x, y) < threshold * max(x, y):
         return 0.0
+    both = len(np.intersect1d(labelled(a), labelled(b)))  # no order of them can match more
+    if both < threshold * (x + y - both):
+        return 0.0
     # At the threshold at least 2t/(1+t) of all k-mers are matched, so at most the rest shifts the diagonal.
     band = int((x + y) * (1 - threshold) / (1 + threshold)) + 1
     c = common_length(a.tolist(), b.tolist(), band)
     return c / (x + y - c)
 
 
-def maybe_among(few: DataFrame, column: str):
-    """A Bloom filter of fixed size (``FILTER_BITS``): a function of a long column that is true for all values in ``few``.
-
-    It keeps most rows without a partner out of the exchange before an exact join; where ``few`` is very large it lets
-    more through, which costs time only.
-    """
-    hashed = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_BITS))
-    bits = few.select(F.explode(F.array(*[hashed(F.col(column), k) for k in (0, 1)])).alias("bit"))
-    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toArrow()  # bounded by FILTER_BITS / 64
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
-    shared = few.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def held(a: pd.Series, b: pd.Series) -> pd.Series:
-        have = np.ones(len(a), bool)
-        for s in (a, b):
-            bit = s.to_numpy(np.int64)
-            have &= (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return pd.Series(have)
-
-    return lambda name: held(hashed(F.col(name), 0), hashed(F.col(name), 1))
+def only_among(rows: DataFrame, column: str, few: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``column`` is in ``few`` (``n`` rows, a column of that name); most others don't reach the exchange."""
+    maybe = maybe_among(few, column, n)
+    kept = rows if maybe is None else rows.filter(maybe(F.array(column)))
+    return kept.join(few, column, "left_semi")
 
 
 def sketches(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, samples: int = SAMPLES, ell: int = ELL) -> DataFrame:
-    """``row_col, doc_id, same binary (of all words in order), n_kmers long, sample array<long>``."""
+    """``row, doc_id, same binary (of all words in order), n_kmers long, sample array<long>, cells array<tinyint>``."""
 
     def make():
         shingles = Shingles(words)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            same, count, sample = [], [], []
+            same, count, sample, held = [], [], [], []
             for text in batch.column(2).to_pylist():
                 tokens = shingles.tokens(text)
-                kmers = shingles.of(tokens)
+                marks = labelled(shingles.of(tokens))
                 same.append(xxhash.xxh128_digest(tokens.tobytes()))
-                count.append(len(kmers))
-                sample.append(order_minhash(kmers, samples, ell).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(count, pa.int64()), pa.array(sample, pa.list_(pa.int64()))], ["row", "doc_id", "same", "n_kmers", "sample"]
-            )
+                count.append(len(marks))
+                sample.append(order_minhash(marks, samples, ell).view(np.int64).tolist())
+                held.append(cells(marks))
+            columns = [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(count, pa.int64()), pa.array(sample, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "same", "n_kmers", "sample", "cells"])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), make, f"row long, doc_id {kind}, same binary, n_kmers long, sample array<long>")
+    return map_batches(docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), make, f"row long, doc_id {kind}, same binary, n_kmers long, sample array<long>, cells array<tinyint>")
 
 
 def _fits(a: str, b: str, threshold: float):
@@ -224,69 +232,82 @@ def _agree(a, b, least: int = AGREE):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= least
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+def _alike(x: dict, y: dict, threshold: float):
+    """What two texts hold in each cell leaves the threshold within reach (always, where that isn't known): no pair that reaches it fails."""
+    common = F.aggregate(F.zip_with(x["cells"], y["cells"], lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda total, n: total + n)
+    return F.coalesce(common * (1 + threshold) >= threshold * (x["n"] + y["n"]) - 1e-6, F.lit(True))
+
 
+def _buckets(first: int, stop: int):
+    """The buckets of a text by its samples from ``first`` to before ``stop``."""
+    return F.expr(f"transform(sequence({first}, {stop - 1}), j -> xxhash64(j, sample[j]))")
 
-def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs a < b of distinct texts that share a sample, each text against the ends of its buckets;
-    members are the rows (``bucket``, ``node``) of buckets with more than one text.
 
-    ``texts`` has ``node, n_kmers, sample, sig`` (a byte for each sample).
+def candidates(texts: DataFrame, rows: DataFrame, ends: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs a < b of distinct texts that share at least ``AGREE`` samples and whose lengths fit: each of ``rows`` (``bucket, root,
+    text``) against the smallest and the largest class of its bucket in ``ends`` (a written table, so that a hot bucket's join can be split).
     """
-    flat = texts.filter("n_kmers > 0").select("node", "n_kmers", F.posexplode("sample").alias("j", "h")).select("node", "n_kmers", F.xxhash64("j", "h").alias("bucket"))
-    end = F.struct("node", "n_kmers")
-    ends = flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.node < high.node")
-    ends = materialize(ends, "buckets")  # a plain table, so that a hot bucket's join can be split
-    members = materialize(flat.join(ends, "bucket"), "members")
-    forget(ends)
-    met = members.select("node", "n_kmers", F.explode(F.array("low", "high")).alias("end"))
-    met = met.filter((F.col("node") != F.col("end.node")) & _fits("n_kmers", "end.n_kmers", threshold))
-    sigs = texts.select("node", "sig")
-    pairs = _pairs(met).join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    return pairs.filter(_agree("sa", "sb")).select("a", "b"), members
-
-
-def mixed_nodes(texts: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """The texts (``node, root``, written) in buckets that hold several classes; None where there are none."""
-    rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted", members.count())
-    mixed = materialize(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed", rooted.count())
-    nodes = None if mixed.isEmpty() else materialize(rooted.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes", texts.count())
-    forget(rooted, mixed)
-    return nodes
+    met = rows.join(ends, "bucket").select("root", "text", F.explode(F.array("low", "high")).alias("end"))
+    met = met.filter((F.col("root") != F.col("end.root")) & _fits("text.n_kmers", "end.text.n_kmers", threshold))
+    pairs = met.select(F.least("text.node", "end.text.node").alias("a"), F.greatest("text.node", "end.text.node").alias("b")).distinct()
+    names = {"n_kmers": "n", "sig": "sig", "cells": "cells"}
+    side = lambda end: texts.select(F.col("node").alias(end), *[F.col(c).alias(f"{n}_{end}") for c, n in names.items()])
+    a, b = ({n: F.col(f"{n}_{end}") for n in names.values()} for end in "ab")
+    # The pairs are few next to the texts, most of which a filter keeps out of the exchange.
+    pairs = materialize(pairs, "met")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = only_among(texts, "node", materialize(ends, "ends"), 2 * pairs.count())
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(a["sig"], b["sig"]) & _alike(a, b, threshold)).select("a", "b")
+
+
+def _ends(rows: DataFrame, n: int) -> DataFrame:
+    """The smallest and the largest class of each bucket that holds several, written."""
+    end = F.struct("root", "text")
+    ends = rows.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.root < high.root")
+    return materialize(ends, "buckets", n)
+
+
+def first_candidates(texts: DataFrame, n: int, first: int = FIRST, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of texts that meet in the buckets of the ``first`` samples, where each text is a class of its own."""
+    text = F.struct("node", "n_kmers").alias("text")
+    rows = texts.select(F.col("node").alias("root"), text, F.explode(_buckets(0, first)).alias("bucket"))
+    return candidates(texts, rows, _ends(rows, n * first), threshold)
+
+
+def class_rows(texts: DataFrame, roots: DataFrame, n: int, samples: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, ends): one text (``bucket, root, text``) of each class in each bucket of several classes, and the buckets' ends."""
+    rooted = texts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("node", "n_kmers").alias("text"), F.explode(_buckets(0, samples)).alias("bucket"))
+    # A class of very many texts is reduced to one row a bucket before the exchange.
+    rows = materialize(rooted.groupBy("bucket", "root").agg(F.min("text").alias("text")), "class-rows", n * samples)
+    ends = _ends(rows, n * samples)
+    mixed = materialize(rows.join(ends.select("bucket"), "bucket", "left_semi"), "mixed-rows", n * samples)
+    forget(rows)
+    return mixed, ends
 
 
-def further_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs of texts of different classes that a crowded bucket may have kept apart, and the ends that were met for them
-    (``seen`` holds those of earlier rounds); None where no bucket holds several classes.
+def mixed_nodes(texts: DataFrame, mixed: DataFrame, roots: DataFrame, samples: int, n: int) -> DataFrame | None:
+    """The texts (``node, root, sig, cells``, written) that may lie in a bucket of several classes; None where there is no such bucket.
 
-    Texts in a bucket of several classes are dealt anew by pairs of samples, which texts that aren't alike seldom share;
-    there each meets the texts of four classes, the ends of two orders. A pair at the threshold shares half of its samples,
-    so it meets in many of these buckets.
+    ``mixed`` has the earlier classes of the buckets that held several, ``roots`` the classes since. A filter passes on a few texts
+    too many, which costs time only.
     """
-    nodes = mixed_nodes(texts, members, roots)
-    if nodes is None:
+    now = roots.select(F.col("node").alias("root"), F.col("root").alias("now"))
+    count = mixed.count()
+    rows = mixed.select("bucket", "root").join(now, "root", "left").select("bucket", F.coalesce("now", "root").alias("root"))
+    buckets = materialize(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed", count)
+    several = buckets.count()
+    if not several:
         return None
-    steps = sorted({s % samples for s in (1, 5)} - {0})
-    keys = F.expr(f"flatten(transform(sequence(0, {samples - 1}), j -> transform(array({','.join(map(str, steps))}), s -> xxhash64(j, sample[j], s, sample[(j + s) % {samples}]))))") if steps else F.expr("array(xxhash64(sample[0]))")
-    flat = nodes.join(texts.select("node", "n_kmers", "sample", "sig"), "node").select("node", "n_kmers", "root", "sig", F.explode(keys).alias("bucket"))
-    flat = materialize(flat, "pair-samples", nodes.count() * max(1, len(steps)) * samples)
-    end = F.struct("root", "node", "n_kmers", "sig")
-    mixed_up = F.struct(F.xxhash64("root").alias("order"), "root", "node", "n_kmers", "sig")
-    two = lambda name: F.struct(*[F.col(f"{name}.{c}").alias(c) for c in ("root", "node", "n_kmers", "sig")])
-    ends = materialize(flat.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.min(mixed_up).alias("m1"), F.max(mixed_up).alias("m2")).filter("low.root < high.root"), "pair-buckets", flat.count())
-    # The ends as rows; those of earlier rounds have met their buckets already.
-    rows = ends.select("bucket", F.explode(F.array("low", "high", two("m1"), two("m2"))).alias("end")).select("bucket", "end", F.col("end.node").alias("other")).dropDuplicates(["bucket", "other"])
-    rows = rows if seen is None else rows.join(seen, ["bucket", "other"], "left_anti")
-    rows = materialize(rows, "ends", 4 * ends.count())
-    fresh = materialize(rows.groupBy("bucket").agg(F.collect_list("end").alias("ends")), "fresh", rows.count())  # four a bucket at most
-    apart = lambda e: (e["root"] != F.col("root")) & (F.least("n_kmers", e["n_kmers"]) >= threshold * F.greatest("n_kmers", e["n_kmers"])) & _agree("sig", e["sig"])
-    met = flat.join(fresh, "bucket").select("node", F.transform(F.filter("ends", apart), lambda e: e["node"]).alias("found")).filter(F.size("found") > 0)
-    # A text lies in a fixed number of buckets, so what it has met is bounded.
-    met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).select("node", F.explode("found").alias("other"))
-    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return pairs, rows.select("bucket", "other")
+    maybe = maybe_among(buckets, "bucket", several)
+    own = texts.withColumn("buckets", _buckets(0, samples))
+    if maybe is not None:
+        own = own.filter(maybe(F.col("buckets")))
+    else:
+        held = own.select("node", F.explode("buckets").alias("bucket")).join(buckets, "bucket", "left_semi").select("node").distinct()
+        own = own.join(held, "node", "left_semi")
+    nodes = materialize(own.select("node", "sig", "cells").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig", "cells"), "mixed-nodes", n)
+    forget(buckets)
+    return nodes
 
 
 def kmer_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -296,7 +317,7 @@ def kmer_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
         shingles, total = Shingles(words), np.zeros(SLOTS, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total += np.bincount((labelled(shingles.of(shingles.tokens(text))) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                np.add.at(total, (labelled(shingles.of(shingles.tokens(text))) % np.uint64(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
@@ -308,11 +329,12 @@ def kmer_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
 
 def left_candidates(texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """All pairs a < b of different classes whose k-mer counts leave the threshold within reach and that share a sample:
-    ``a, b, ra, rb``. ``texts`` has ``node, root, sig, text``.
+    ``a, b, ra, rb, agree``. ``texts`` has ``node, root, sig, cells, text``.
 
     A prefix join: with every text's k-mers in one order, rarest first, a pair that reaches the threshold has its first common
     k-mer so early in both that enough are left after it. A k-mer that very many texts share comes last, so it
-    brings together only those that have hardly anything else.
+    brings together only those that have hardly anything else. What texts hold in their cells bounds what they can share. For each k-mer, texts outside its largest class meet all
+    texts, and the texts of that class never meet each other.
     """
     rarity = texts.sparkSession.sparkContext.broadcast(kmer_counts(texts, words))
 
@@ -320,49 +342,66 @@ def left_candidates(texts: DataFrame, threshold: float = THRESHOLD, words: int =
         shingles = Shingles(words)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                marks = labelled(shingles.of(shingles.tokens(text)))
+            sizes, kmers, places, picked = [], [], [], []
+
+            def flush() -> pa.RecordBatch:
+                of = pa.array(np.repeat(picked, [len(x) for x in kmers]))
+                columns = [batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), batch.column(3).take(of), pa.array(np.repeat(sizes, [len(x) for x in kmers])), pa.array(np.concatenate(kmers)), pa.array(np.concatenate(places))]
+                for held in (sizes, kmers, places, picked):
+                    held.clear()
+                return pa.RecordBatch.from_arrays(columns, ["node", "root", "sig", "cells", "n", "kmer", "place"])
+
+            for i in range(batch.num_rows):
+                marks = labelled(shingles.of(shingles.tokens(batch.column(4)[i].as_py())))
                 n, count = len(marks), rarity.value[(marks % np.uint64(SLOTS)).astype(np.int64)]
                 order = np.lexsort((marks, count))[: n - int(np.ceil(threshold * n - 1e-6)) + 1]
-                places = np.flatnonzero(count[order] > 1)  # the others stand in this text only
-                kmers = marks[order[places]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), x, np.int64)) for x in (node, n)] + [pa.array(kmers), pa.array(places)], ["node", "n", "kmer", "place"])
+                at = np.flatnonzero(count[order] > 1)  # the others stand in this text only
+                sizes.append(n)
+                picked.append(i)
+                kmers.append(marks[order[at]].view(np.int64))
+                places.append(at)
+                if sum(map(len, kmers[-1000:])) > 50_000:
+                    yield flush()
+            if picked:
+                yield flush()
 
         return step
 
-    prefixes = map_batches(texts.select("node", "text"), make, "node long, n long, kmer long, place long")
-    prefixes = materialize(prefixes.join(texts.select("node", "root"), "node"), "prefixes")
-    shared = materialize(prefixes.groupBy("kmer").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("kmer"), "shared-kmers", prefixes.count())
-    rows = materialize(prefixes.join(shared, "kmer").join(texts.select("node", "sig"), "node"), "shared-prefixes")  # a plain table, so that a hot k-mer's join can be split
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    prefixes = map_batches(texts.select("node", "root", "sig", "cells", "text"), make, f"node long, root long, sig {kinds['sig']}, cells {kinds['cells']}, n long, kmer long, place long")
+    prefixes = materialize(prefixes, "prefixes")
+    by_class = prefixes.groupBy("kmer", "root").agg(F.count(F.lit(1)).alias("held"))
+    shared = by_class.groupBy("kmer").agg(F.max_by("root", F.struct("held", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    shared = materialize(shared.select("kmer", "top"), "shared-kmers")
+    rows = materialize(prefixes.join(shared, "kmer"), "shared-prefixes")  # a plain table, so that a hot k-mer's join can be split
     forget(prefixes, shared)
-    enough = lambda left, total: left * (1 + threshold) >= threshold * total - 1e-6
-    long = rows.select("kmer", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "place", "sig")])
-    short = rows.filter(enough(F.col("n") - F.col("place"), 2 * F.col("n"))).select("kmer", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "n", "place", "sig")])
-    x, y = ({c: F.col(f"{c}_{end}") for c in ("node", "root", "n", "place", "sig")} for end in "xy")
-    in_order = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["node"] < x["node"]))
-    reach = enough(F.least(x["n"] - x["place"], y["n"] - y["place"]), x["n"] + y["n"])
-    met = long.join(short, (long["kmer"] == short["kmer"]) & (x["root"] != y["root"]) & in_order & reach & _agree(x["sig"], y["sig"], 1))
+    names = ("node", "root", "n", "place", "sig", "cells")
+    sides = {end: rows.select(F.col("kmer").alias(f"kmer_{end}"), "top" if end == "x" else F.lit(0).alias("none"), *[F.col(c).alias(f"{c}_{end}") for c in names]) for end in "xy"}
+    x, y = ({c: F.col(f"{c}_{end}") for c in names} for end in "xy")
+    reach = F.least(x["n"] - x["place"], y["n"] - y["place"]) * (1 + threshold) >= threshold * (x["n"] + y["n"]) - 1e-6
+    # Two texts outside the largest class would meet twice but for the order of their names.
+    once = (y["root"] == F.col("top")) | (x["node"] < y["node"])
+    others = sides["x"].filter("root_x != top")
+    met = others.join(sides["y"], (F.col("kmer_x") == F.col("kmer_y")) & (x["root"] != y["root"]) & once & reach & _agree(x["sig"], y["sig"], 1) & _alike(x, y, threshold))
     first = x["node"] < y["node"]
     pick = lambda c: [F.when(first, x[c]).otherwise(y[c]), F.when(first, y[c]).otherwise(x[c])]
     (a, b), (ra, rb) = pick("node"), pick("root")
-    pairs = materialize(met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct(), "left-pairs")
+    agree = F.size(F.filter(F.zip_with(x["sig"], y["sig"], lambda p, q: p == q), lambda same: same))
+    pairs = materialize(met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb"), agree.alias("agree")).distinct(), "left-pairs")
     forget(rows)
     return pairs
 
 
-def link_left(keyed: DataFrame, key: str, texts: DataFrame, members: DataFrame, links: DataFrame, roots: DataFrame, tested: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
-    """(links, roots) after all pairs that :func:`left_candidates` leaves have been tested, unless their texts are in one class by then."""
-    nodes = mixed_nodes(texts, members, roots)
-    if nodes is None:
-        return links, roots
+def left_links(nodes: DataFrame, keyed: DataFrame, key: str, roots: DataFrame, tested: DataFrame, threshold: float, words: int, n: int) -> DataFrame:
+    """The classes (``node, root``) after all pairs that :func:`left_candidates` leaves have been tested, unless their texts are in one class by then."""
     needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
-    needed = needed.filter(maybe_among(nodes, "node")("node")).join(nodes, "node").join(texts.select("node", "sig"), "node")
-    needed = materialize(needed, "left-texts")
+    needed = materialize(only_among(needed, "node", nodes.select("node"), nodes.count()).join(nodes, "node"), "left-texts")
     pairs = left_candidates(needed, threshold, words)
     left = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "left-pairs")
-    forget(nodes, pairs)
-    # One pair of each two classes goes first, which saves most of the others where classes are large.
-    one = materialize(left.groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "one-pairs", left.count())
+    forget(pairs)
+    # Of each two classes the pair that agrees most goes first, which saves most of the others where classes are large.
+    likely = F.max(F.struct("agree", "a", "b")).alias("p")
+    one = materialize(left.groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(likely).select("p.a", "p.b"), "one-pairs", left.count())
     for rest in (False, True):
         pairs = one
         if rest:
@@ -372,11 +411,9 @@ def link_left(keyed: DataFrame, key: str, texts: DataFrame, members: DataFrame,
         if pairs.isEmpty():
             continue
         found = materialize(verify(pairs, needed, threshold, words), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found).dropDuplicates(["a", "b"])
-            roots = components(links)
+        roots = merged(roots, found)
     forget(needed, left, one)
-    return links, roots
+    return roots
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -427,27 +464,30 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _both_ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (``node, root``) of ``roots`` after new links."""
+    if links.isEmpty():
+        return roots
+    return components(links.select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _verified(keyed: DataFrame, key: str, pairs: DataFrame, threshold: float, words: int) -> DataFrame:
     """The links among ``pairs``, written."""
-    ends = materialize(_both_ends(pairs).distinct(), "ends", 2 * pairs.count())
-    needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
-    needed = needed.filter(maybe_among(ends, "node")("node")).join(ends, "node", "left_semi")
-    texts = materialize(needed, "texts")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    ends = materialize(ends, "ends", 2 * pairs.count())
+    needed = only_among(keyed.select(key, text_of("text").alias("text")), key, ends, ends.count())
+    texts = materialize(needed.withColumnRenamed(key, "node"), "texts")
     links = materialize(verify(pairs, texts, threshold, words), "links")
     forget(ends, texts)
     return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, samples: int = SAMPLES, ell: int = ELL, row_col: str | None = None) -> DataFrame:
-    """One row per input row: ``doc_id, class_id, n_links, group_size, kept`` (and the row key, if given).
+    """One row per input row: ``doc_id, class_id, group_size, kept``, after the row key, if given.
 
-    ``class_id`` is the smallest doc_id of the class, whose first row stays (``kept``); ``n_links`` counts the verified links
-    of the row's text to other texts; ``group_size`` counts the rows of the class. Texts are read twice by their row key,
-    so without ``row_col`` they are first written with one; a ``row_col`` of your own has to be stored, not computed.
+    ``class_id`` is the smallest doc_id of the class, whose first row stays (``kept``); ``group_size`` counts the rows of the
+    class. Texts are read again by their row key, so without ``row_col`` they are first written with one; a ``row_col`` of
+    your own has to be stored, not computed.
     """
     key = row_col or ROW
     source = docs if row_col else keyed_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -456,39 +496,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Texts with the same words are one node, named by their smallest row.
     n = rows.count()
     nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same", n)
-    of_row = materialize(rows.select("row", "doc_id", "same", "n_kmers").join(nodes, "same").select("row", "doc_id", "node", "n_kmers"), "nodes")
+    of_row = materialize(rows.select("row", "doc_id", "same").join(nodes, "same").select("row", "doc_id", "node"), "nodes")
     short = F.transform("sample", lambda x: (x % 128).cast("tinyint")).alias("sig")
-    texts = materialize(of_row.filter("row = node").select("node", "n_kmers").join(rows.select(F.col("row").alias("node"), "sample", short), "node"), "distinct")
-    tested, members = candidates(texts, threshold)
-    tested = materialize(tested, "pairs")
-    links = _verified(keyed, key, tested, threshold, words)
-    roots = components(links)
-    seen = None
-    while (further := further_candidates(texts, members, roots, threshold, samples, seen)) is not None:
-        more, met = further
-        seen = met if seen is None else seen.unionByName(met)
-        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        found = _verified(keyed, key, more, threshold, words)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found).dropDuplicates(["a", "b"])
-        roots = components(links)
-    links, roots = link_left(keyed, key, texts, members, links, roots, tested, threshold, words)
-    degree = _both_ends(links).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    info = materialize(roots.join(degree, "node", "full"), "info", n)  # one plain table, so that the join at a text with many copies can be split
-    whole = of_row.join(info, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    whole = materialize(whole, "classes", n)
+    texts = rows.filter("n_kmers > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_kmers", "sample", short, "cells")
+    texts = materialize(texts, "distinct")
+    # Step 1: classes of the large groups.
+    tested = materialize(first_candidates(texts, n, min(FIRST, samples), threshold), "pairs", 2 * FIRST * n)
+    roots = components(_verified(keyed, key, tested, threshold, words))
+    # Step 2: one text of each class in each bucket.
+    mixed, ends = class_rows(texts, roots, n, samples)
+    more = candidates(texts, mixed, ends, threshold).join(tested, ["a", "b"], "left_anti")
+    more = materialize(more, "pairs", 2 * samples * n)
+    roots = merged(roots, _verified(keyed, key, more, threshold, words))
+    # Step 3: all that is left in buckets of several classes.
+    left = mixed_nodes(texts, mixed, roots, samples, n)
+    if left is not None:
+        roots = left_links(left, keyed, key, roots, tested.unionByName(more), threshold, words, n)
+    whole = materialize(of_row.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root")), "classes", n)
     best = F.struct(F.col("doc_id").isNotNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     classes = whole.groupBy("root").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     classes = materialize(classes, "groups", n)
-    forget(rows, nodes, of_row, texts, members, info, *([] if row_col else [source]))
+    forget(rows, nodes, of_row, texts, mixed, ends, tested, more, *([left] if left is not None else []), *([] if row_col else [source]))
     joined = whole.join(classes, "root", "left")
     alone = F.col("best").isNull()
     return joined.select(
         *([F.col("row").alias(row_col)] if row_col else []), "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), "n_links",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("best.row") == F.col("row"))).alias("kept"),
     )
