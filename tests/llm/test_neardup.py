@@ -1,10 +1,12 @@
 import random
+import re
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from vastgrain.llm import neardup as N
@@ -74,16 +76,51 @@ def classes_of(pairs):
 
 def test_classes_against_brute_force(spark, tmp_path):
     pairs = corpus()
-    got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()}
-    assert got == classes_of(pairs)
-
-
-def test_one_stays_of_each_class(spark, tmp_path):
-    pairs = corpus(5)
+    rows = N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == classes_of(pairs)
     by = defaultdict(list)
-    for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect():
+    for r in rows:
         by[r.class_id].append(r)
-    assert all(sum(r.kept for r in rs) == 1 and {r.group_size for r in rs} == {len(rs)} for rs in by.values())
+    assert all([r.doc_id for r in rs if r.kept] == [c] and {r.group_size for r in rs} == {len(rs)} for c, rs in by.items())
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rnd, seen, word = random.Random(1), {}, re.compile(r"\w+")
+    for span in (1 << 20, 5, 1):
+        monkeypatch.setattr(N, "SPAN", span)
+        for _ in range(500):
+            text = "".join(rnd.choice("abcABZ019_ .,-éÉß中İſ😀\n\t'ǅ٣½²") for _ in range(rnd.randint(0, 40)))
+            words, hashes = word.findall(text.lower()), N.Shingles().tokens(text).tolist()
+            assert len(words) == len(hashes) and all(seen.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_samples_in_chunks(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 4, 17, 500):
+        marks = rng.integers(0, 2**63, n).astype(np.uint64)
+        whole = N.order_minhash(marks)
+        for chunk in (2, 3, 7):
+            monkeypatch.setattr(N, "CHUNK", chunk)
+            assert (N.order_minhash(marks) == whole).all()
+
+
+def test_cells_bound_what_texts_share(spark):
+    """The bound is the sum of lesser counts, so it is never under what two texts share; unknown cells rule nothing out."""
+    rng = np.random.default_rng(2)
+    rows, want = [], []
+    for _ in range(60):
+        a = rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64)
+        b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**64, rng.integers(0, 60), dtype=np.uint64)])
+        count = lambda x: np.bincount(((x >> np.uint64(32)) * np.uint64(N.CELLS) >> np.uint64(32)).astype(int), minlength=N.CELLS)
+        bound = int(np.minimum(count(a), count(b)).sum())
+        assert bound >= len(np.intersect1d(a, b))
+        rows.append((N.cells(a), N.cells(b), len(a), len(b)))
+        want.append(bound * 1.8 >= 0.8 * (len(a) + len(b)) - 1e-6)
+    rows.append((None, N.cells(a), 1, 1000))
+    df = spark.createDataFrame(rows, "p array<long>, q array<long>, n long, m long").coalesce(1)
+    got = [r[0] for r in df.select(N._alike({"cells": F.col("p"), "n": F.col("n")}, {"cells": F.col("q"), "n": F.col("m")}, 0.8)).collect()]
+    assert got == [*want, True] and 0 < sum(want) < 60 and N.cells(np.zeros(128, np.uint64)) is None
 
 
 def test_components(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,12 +23,14 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may go without and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vastgrain-")
         context.setCheckpointDir(folder)
         folder = context.getCheckpointDir()
@@ -73,14 +76,22 @@ def forget(*tables: DataFrame) -> None:
             hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    """Add :data:`ROW`, unique per input row within one run of the plan. A second run may cut files otherwise, as executors come and go; see :func:`keyed_table`."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def keyed_table(df: DataFrame, name: str = "keyed") -> DataFrame:
-    """``df`` with :data:`ROW`, written, so that every later read sees the same keys."""
-    return materialize(with_row_key(df), name)
+def with_row_key(df: DataFrame, key: str = ROW) -> DataFrame:
+    """Add a row key, unique per input row within one run of the plan. A second run may cut files otherwise, as executors come and go; see :func:`keyed_table`."""
+    return df.withColumn(key, F.monotonically_increasing_id())
+
+
+def keyed_table(df: DataFrame, name: str = "keyed", key: str = ROW) -> DataFrame:
+    """``df`` with a row key, written, so that every later read sees the same keys."""
+    return materialize(with_row_key(df, key), name)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is an anchor when the smallest of its inner s-mers is the first or the last one. That
-depends on the k-mer alone, so an edit far away changes no anchor. Anchors carry their positions for matching;
-the fingerprint keeps the smallest anchor hashes as fixed-width hexadecimal digits, and the likeness of two
-fingerprints is the share of the smallest hashes of their union that both hold (an estimate of the Jaccard
-index of the anchor sets).
+depends on the k-mer alone, so an edit far away changes no anchor. The fingerprint holds hashes of anchors in the order
+of their positions, as fixed-width hexadecimal digits: all distinct anchors of a text of up to ``KEEP``; of a longer
+one those whose hash is under a fixed share ``FRACTION`` of all hashes, and the ``KEEP`` smallest at least. So it grows with
+the text, and which anchors it holds depends on the anchors alone.
+
+Two fingerprints are matched by position: of the hashes that both would hold, the longest chain that stands in the same
+order in both counts, and the likeness is its length over that of both together less the chain (a Jaccard index of
+the anchors where their order agrees; exact for texts of up to ``KEEP`` anchors, else a sample of some sixteenth of them).
 
 Cases: null counts as empty; a text shorter than a k-mer, or without any anchor, has one anchor, the hash of
 the whole text; the empty text has the empty fingerprint, which is like itself (1) and unlike others (0).
@@ -14,6 +18,7 @@ Texts are taken whole; equal texts have equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,9 @@ from .common import map_batches, text_of
 
 K = 16
 S = 5
+#: Anchors a fingerprint holds at least, and the share of all hashes that it holds in any case.
 KEEP = 128
+FRACTION = 16
 #: Code points hashed at a time, to bound memory on long texts.
 SPAN = 1 << 20
 
@@ -79,13 +86,11 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str, k: int = K, s: int = S, keep: int = KEEP) -> np.ndarray:
-    """The ``keep`` smallest distinct anchor hashes, sorted."""
+    """The hashes a fingerprint holds, each at the first place where its anchor stands, in text order."""
     found = anchors(text, k, s)[1]
-    if len(found) > 4 * keep:  # the smallest few are enough unless most are repeats
-        few = np.unique(np.partition(found, 2 * keep)[: 2 * keep])
-        if len(few) >= keep:
-            return few[:keep]
-    return np.unique(found)[:keep]
+    distinct, first = np.unique(found, return_index=True)
+    n = max(keep, int(np.searchsorted(distinct, (1 << 32) // FRACTION)))
+    return found[np.sort(first[:n])]
 
 
 def to_text(hashes: np.ndarray) -> str:
@@ -96,12 +101,28 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint64)
 
 
+def _common_chain(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence of two sequences without repeats: the longest rising run of b's places in a's order."""
+    _, at, places = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    in_order = places[np.argsort(at, kind="stable")]
+    if (np.diff(in_order) > 0).all():
+        return len(in_order)
+    tails: list[int] = []
+    for x in in_order.tolist():
+        i = bisect_left(tails, x)
+        tails[i : i + 1] = [x]
+    return len(tails)
+
+
 def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
-    """Share of the ``keep`` smallest hashes of the union that both sketches hold, from 0 to 1."""
+    """Likeness of two sketches by their anchors and the order of these, from 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:keep]
-    return float(len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union))
+    # A sketch of fewer hashes is whole; beyond the lesser of the largest ones, one of the two may lack some.
+    reach = min(int(x.max()) if len(x) >= keep else 1 << 32 for x in (a, b))
+    a, b = a[a <= reach], b[b <= reach]
+    c = _common_chain(a, b)
+    return c / (len(a) + len(b) - c)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, keep: int = KEEP, with_anchors: bool = False) -> DataFrame:

@@ -29,7 +29,6 @@ have one k-mer, all their words; repeated rows are copies; a null doc_id is smal
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Memo, forget, keyed_table, map_batches, materialize, maybe_among, text_of
+from .common import ROW, forget, keyed_table, map_batches, materialize, maybe_among, text_of
 
-WORD = re.compile(r"\w+")
 WORDS = 5
 THRESHOLD = 0.8
 ELL = 3
 SAMPLES = 24
-MEMO_WORDS = 300_000
 #: Samples that part the large groups of copies before the others are looked at.
 FIRST = 4
 #: Samples a pair has to share before its texts are fetched in the first two steps; the exact join at the end asks for one.
@@ -54,10 +51,14 @@ AGREE = 3
 SLOTS = 1 << 20
 #: Symbols of one side taken at a time in the banded alignment.
 STEP = 512
-#: Cells of a text's table of labelled k-mers, by which pairs are ruled out before their texts are fetched.
-CELLS = 256
+#: Cells of a text's table of labelled k-mers, by which pairs are ruled out before their texts are fetched; seven to a long.
+CELLS = 252
 #: K-mers of one text hashed at a time.
 CHUNK = 1 << 15
+#: Pairs that a k-mer may make in the exact join before what its texts hold is looked at in the join itself.
+HEAVY = 64
+#: Code points of one text cut into words at a time.
+SPAN = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,17 +67,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class _Words:
+    """Tables by which words are found and hashed without a loop: which code points stand in words, and powers of a base with their inverses."""
+
+    BASE = 0x9E3779B97F4A7C15
+    letters: np.ndarray | None = None
+    powers = inverses = np.zeros(0, np.uint64)
+
+    @classmethod
+    def inside(cls, points: np.ndarray) -> np.ndarray:
+        if cls.letters is None:
+            cls.letters = np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), bool, 0x110000)
+        return cls.letters[points]
+
+    @classmethod
+    def tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.powers) < n:
+            size = 1 << max(12, (n - 1).bit_length())
+            run = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, base, np.uint64))])
+            cls.powers, cls.inverses = run(cls.BASE), run(pow(cls.BASE, -1, 1 << 64))
+        return cls.powers, cls.inverses
+
+
 class Shingles:
     """K-mer hashes of texts."""
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.memo = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), MEMO_WORDS)
 
     def tokens(self, text: str) -> np.ndarray:
-        """A hash for each word."""
-        memo = self.memo
-        return np.fromiter(map(memo.__getitem__, WORD.findall(text.lower())), np.uint64)
+        """A hash for each word (a run of letters, digits and underscores, in lower case), whatever stands around it.
+
+        A word's hash is that of a polynomial of its code points, taken from the text's running sums.
+        """
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        edges = np.flatnonzero(np.diff(_Words.inside(points).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = edges[::2], edges[1::2]
+        out, k = np.zeros(len(starts), np.uint64), 0
+        while k < len(starts):
+            lo = starts[k]
+            stop = max(k + 1, int(np.searchsorted(ends, lo + SPAN, side="right")))  # whole words
+            part = points[lo : ends[stop - 1]]
+            powers, inverses = _Words.tables(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_mix(part + np.uint64(1)) * powers[: len(part)], out=sums[1:])
+            a, b = starts[k:stop] - lo, ends[k:stop] - lo
+            out[k:stop] = (sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64)
+            k = stop
+        return _mix(out)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """A hash for each k-mer, in text order."""
@@ -108,7 +146,11 @@ def order_minhash(marks: np.ndarray, samples: int = SAMPLES, ell: int = ELL) ->
     least, places = np.zeros((samples, 0), np.uint64), np.zeros((samples, 0), np.int64)
     every = np.arange(samples)
     for lo in range(0, len(marks), CHUNK):  # what is held doesn't grow with the text
-        values = np.concatenate([least, _mix(marks[None, lo : lo + CHUNK] ^ seeds)], axis=1)
+        values = marks[None, lo : lo + CHUNK] ^ seeds
+        values *= np.uint64(0xFF51AFD7ED558CCD)
+        values ^= values >> np.uint64(32)
+        values *= np.uint64(0xC4CEB9FE1A85EC53)
+        values = np.concatenate([least, values], axis=1)
         behind = lo - least.shape[1]
         picked, found = [], []
         for _ in range(min(ell, values.shape[1])):
@@ -125,9 +167,12 @@ def order_minhash(marks: np.ndarray, samples: int = SAMPLES, ell: int = ELL) ->
 
 
 def cells(marks: np.ndarray) -> list[int] | None:
-    """How many of a text's labelled k-mers fall into each of ``CELLS`` cells; None where a count is over 127 (a text of some 30,000 words)."""
-    held = np.bincount((_mix(marks) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    return held.tolist() if held.max(initial=0) < 128 else None
+    """How many of a text's labelled k-mers fall into each of ``CELLS`` cells, a byte each and seven bytes to a long; None where a
+    count is over 127 (a text of some 30,000 words)."""
+    held = np.bincount(((marks >> np.uint64(32)) * np.uint64(CELLS) >> np.uint64(32)).astype(np.int64), minlength=CELLS)
+    if held.max(initial=0) > 127:
+        return None
+    return np.pad(held.astype(np.uint8).reshape(-1, 7), ((0, 0), (0, 1))).view("<i8").ravel().tolist()
 
 
 def common_length(a: list[int], b: list[int], band: int) -> int:
@@ -198,8 +243,17 @@ def only_among(rows: DataFrame, column: str, few: DataFrame, n: int) -> DataFram
     return kept.join(few, column, "left_semi")
 
 
+def none_among(rows: DataFrame, column: str, few: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``column`` is not in ``few`` (``n`` rows); only those that may be take part in an exchange."""
+    maybe = maybe_among(few, column, n)
+    if maybe is None:
+        return rows.join(few, column, "left_anti")
+    seen = maybe(F.array(column))
+    return rows.filter(~seen).unionByName(rows.filter(seen).join(few, column, "left_anti"))
+
+
 def sketches(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, samples: int = SAMPLES, ell: int = ELL) -> DataFrame:
-    """``row, doc_id, same binary (of all words in order), n_kmers long, sample array<long>, cells array<tinyint>``."""
+    """``row, doc_id, same binary (of all words in order), n_kmers long, sample array<long>, cells array<long>``."""
 
     def make():
         shingles = Shingles(words)
@@ -213,13 +267,13 @@ def sketches(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: st
                 count.append(len(marks))
                 sample.append(order_minhash(marks, samples, ell).view(np.int64).tolist())
                 held.append(cells(marks))
-            columns = [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(count, pa.int64()), pa.array(sample, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int8()))]
+            columns = [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(count, pa.int64()), pa.array(sample, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "same", "n_kmers", "sample", "cells"])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), make, f"row long, doc_id {kind}, same binary, n_kmers long, sample array<long>, cells array<tinyint>")
+    return map_batches(docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), make, f"row long, doc_id {kind}, same binary, n_kmers long, sample array<long>, cells array<long>")
 
 
 def _fits(a: str, b: str, threshold: float):
@@ -233,8 +287,15 @@ def _agree(a, b, least: int = AGREE):
 
 
 def _alike(x: dict, y: dict, threshold: float):
-    """What two texts hold in each cell leaves the threshold within reach (always, where that isn't known): no pair that reaches it fails."""
-    common = F.aggregate(F.zip_with(x["cells"], y["cells"], lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda total, n: total + n)
+    """What two texts hold in each cell leaves the threshold within reach (always, where that isn't known): no pair that reaches it fails.
+
+    All bytes of a long are compared at once: a high bit set in each byte of p outlasts the subtraction where p >= q.
+    """
+    high, even = F.lit(0x0080808080808080), F.lit(0x00FF00FF00FF00FF)
+    not_less = lambda p, q: F.shiftrightunsigned((p.bitwiseOR(high) - q).bitwiseAND(high), 7) * 255
+    lesser = F.zip_with(x["cells"], y["cells"], lambda p, q: p.bitwiseXOR(p.bitwiseXOR(q).bitwiseAND(not_less(p, q))))
+    lanes = F.aggregate(lesser, F.lit(0).cast("long"), lambda total, m: total + m.bitwiseAND(even) + F.shiftrightunsigned(m, 8).bitwiseAND(even))  # four sums of 16 bits
+    common = F.aggregate(F.array(lanes), F.lit(0).cast("long"), lambda total, v: total + sum((F.shiftrightunsigned(v, k).bitwiseAND(F.lit(65535)) for k in (16, 32, 48)), v.bitwiseAND(F.lit(65535))))
     return F.coalesce(common * (1 + threshold) >= threshold * (x["n"] + y["n"]) - 1e-6, F.lit(True))
 
 
@@ -243,42 +304,43 @@ def _buckets(first: int, stop: int):
     return F.expr(f"transform(sequence({first}, {stop - 1}), j -> xxhash64(j, sample[j]))")
 
 
-def candidates(texts: DataFrame, rows: DataFrame, ends: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs a < b of distinct texts that share at least ``AGREE`` samples and whose lengths fit: each of ``rows`` (``bucket, root,
-    text``) against the smallest and the largest class of its bucket in ``ends`` (a written table, so that a hot bucket's join can be split).
-    """
-    met = rows.join(ends, "bucket").select("root", "text", F.explode(F.array("low", "high")).alias("end"))
-    met = met.filter((F.col("root") != F.col("end.root")) & _fits("text.n_kmers", "end.text.n_kmers", threshold))
-    pairs = met.select(F.least("text.node", "end.text.node").alias("a"), F.greatest("text.node", "end.text.node").alias("b")).distinct()
+def ruled_in(pairs: DataFrame, texts: DataFrame, n: int, least: int, threshold: float) -> DataFrame:
+    """The pairs (``a, b``, written, ``n`` rows) whose lengths fit, that share ``least`` samples, and whose cells leave the threshold within reach."""
     names = {"n_kmers": "n", "sig": "sig", "cells": "cells"}
-    side = lambda end: texts.select(F.col("node").alias(end), *[F.col(c).alias(f"{n}_{end}") for c, n in names.items()])
-    a, b = ({n: F.col(f"{n}_{end}") for n in names.values()} for end in "ab")
-    # The pairs are few next to the texts, most of which a filter keeps out of the exchange.
-    pairs = materialize(pairs, "met")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = only_among(texts, "node", materialize(ends, "ends"), 2 * pairs.count())
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(a["sig"], b["sig"]) & _alike(a, b, threshold)).select("a", "b")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends", 2 * n)
+    # Few next to the texts, most of which a filter keeps out of the exchange.
+    few = only_among(texts, "node", ends, ends.count()).select("node", *names)
+    side = lambda end: few.select(F.col("node").alias(end), *[F.col(c).alias(f"{name}_{end}") for c, name in names.items()])
+    a, b = ({name: F.col(f"{name}_{end}") for name in names.values()} for end in "ab")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_fits("n_a", "n_b", threshold) & _agree(a["sig"], b["sig"], least) & _alike(a, b, threshold)).select(*pairs.columns)
+
+
+def candidates(texts: DataFrame, rows: DataFrame, ends: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs a < b of texts of different classes that :func:`ruled_in` leaves: each of ``rows`` (``bucket, root, node``) against the smallest
+    and the largest class of its bucket in ``ends`` (a written table, so that a hot bucket's join can be split)."""
+    met = rows.join(ends, "bucket").select("root", "node", F.explode(F.array("low", "high")).alias("end")).filter(F.col("root") != F.col("end.root"))
+    pairs = materialize(met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct(), "met", 2 * n)
+    return ruled_in(pairs, texts, pairs.count(), AGREE, threshold)
 
 
 def _ends(rows: DataFrame, n: int) -> DataFrame:
-    """The smallest and the largest class of each bucket that holds several, written."""
-    end = F.struct("root", "text")
+    """The smallest and the largest class of each bucket that holds several, with a text of each, written."""
+    end = F.struct("root", "node")
     ends = rows.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.root < high.root")
     return materialize(ends, "buckets", n)
 
 
 def first_candidates(texts: DataFrame, n: int, first: int = FIRST, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of texts that meet in the buckets of the ``first`` samples, where each text is a class of its own."""
-    text = F.struct("node", "n_kmers").alias("text")
-    rows = texts.select(F.col("node").alias("root"), text, F.explode(_buckets(0, first)).alias("bucket"))
-    return candidates(texts, rows, _ends(rows, n * first), threshold)
+    rows = texts.select(F.col("node").alias("root"), "node", F.explode(_buckets(0, first)).alias("bucket"))
+    return candidates(texts, rows, _ends(rows, n * first), n * first, threshold)
 
 
 def class_rows(texts: DataFrame, roots: DataFrame, n: int, samples: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, ends): one text (``bucket, root, text``) of each class in each bucket of several classes, and the buckets' ends."""
-    rooted = texts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("node", "n_kmers").alias("text"), F.explode(_buckets(0, samples)).alias("bucket"))
+    """(rows, ends): one text (``bucket, root, node``) of each class in each bucket of several classes, and the buckets' ends."""
+    rooted = texts.select("node", "sample").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", F.explode(_buckets(0, samples)).alias("bucket"))
     # A class of very many texts is reduced to one row a bucket before the exchange.
-    rows = materialize(rooted.groupBy("bucket", "root").agg(F.min("text").alias("text")), "class-rows", n * samples)
+    rows = materialize(rooted.groupBy("bucket", "root").agg(F.min("node").alias("node")), "class-rows", n * samples)
     ends = _ends(rows, n * samples)
     mixed = materialize(rows.join(ends.select("bucket"), "bucket", "left_semi"), "mixed-rows", n * samples)
     forget(rows)
@@ -286,7 +348,7 @@ def class_rows(texts: DataFrame, roots: DataFrame, n: int, samples: int) -> tupl
 
 
 def mixed_nodes(texts: DataFrame, mixed: DataFrame, roots: DataFrame, samples: int, n: int) -> DataFrame | None:
-    """The texts (``node, root, sig, cells``, written) that may lie in a bucket of several classes; None where there is no such bucket.
+    """The texts (``node, root``, written) that may lie in a bucket of several classes; None where there is no such bucket.
 
     ``mixed`` has the earlier classes of the buckets that held several, ``roots`` the classes since. A filter passes on a few texts
     too many, which costs time only.
@@ -305,7 +367,7 @@ def mixed_nodes(texts: DataFrame, mixed: DataFrame, roots: DataFrame, samples: i
     else:
         held = own.select("node", F.explode("buckets").alias("bucket")).join(buckets, "bucket", "left_semi").select("node").distinct()
         own = own.join(held, "node", "left_semi")
-    nodes = materialize(own.select("node", "sig", "cells").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig", "cells"), "mixed-nodes", n)
+    nodes = materialize(own.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "mixed-nodes", n)
     forget(buckets)
     return nodes
 
@@ -327,14 +389,15 @@ def kmer_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     return counts
 
 
-def left_candidates(texts: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+def left_candidates(texts: DataFrame, sketched: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """All pairs a < b of different classes whose k-mer counts leave the threshold within reach and that share a sample:
-    ``a, b, ra, rb, agree``. ``texts`` has ``node, root, sig, cells, text``.
+    ``a, b, ra, rb``. ``texts`` has ``node, root, text``, ``sketched`` what is known of all texts (``node, n_kmers, sig, cells``).
 
     A prefix join: with every text's k-mers in one order, rarest first, a pair that reaches the threshold has its first common
     k-mer so early in both that enough are left after it. A k-mer that very many texts share comes last, so it
-    brings together only those that have hardly anything else. What texts hold in their cells bounds what they can share. For each k-mer, texts outside its largest class meet all
-    texts, and the texts of that class never meet each other.
+    brings together only those that have hardly anything else. For each k-mer, texts outside its largest class meet all
+    texts, and the texts of that class never meet each other. Where a k-mer would still make many pairs, what its texts hold in
+    their cells rules pairs out in the join itself, and afterwards everywhere.
     """
     rarity = texts.sparkSession.sparkContext.broadcast(kmer_counts(texts, words))
 
@@ -346,13 +409,13 @@ def left_candidates(texts: DataFrame, threshold: float = THRESHOLD, words: int =
 
             def flush() -> pa.RecordBatch:
                 of = pa.array(np.repeat(picked, [len(x) for x in kmers]))
-                columns = [batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), batch.column(3).take(of), pa.array(np.repeat(sizes, [len(x) for x in kmers])), pa.array(np.concatenate(kmers)), pa.array(np.concatenate(places))]
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.repeat(sizes, [len(x) for x in kmers])), pa.array(np.concatenate(kmers)), pa.array(np.concatenate(places))]
                 for held in (sizes, kmers, places, picked):
                     held.clear()
-                return pa.RecordBatch.from_arrays(columns, ["node", "root", "sig", "cells", "n", "kmer", "place"])
+                return pa.RecordBatch.from_arrays(columns, ["node", "root", "n", "kmer", "place"])
 
             for i in range(batch.num_rows):
-                marks = labelled(shingles.of(shingles.tokens(batch.column(4)[i].as_py())))
+                marks = labelled(shingles.of(shingles.tokens(batch.column(2)[i].as_py())))
                 n, count = len(marks), rarity.value[(marks % np.uint64(SLOTS)).astype(np.int64)]
                 order = np.lexsort((marks, count))[: n - int(np.ceil(threshold * n - 1e-6)) + 1]
                 at = np.flatnonzero(count[order] > 1)  # the others stand in this text only
@@ -367,14 +430,18 @@ def left_candidates(texts: DataFrame, threshold: float = THRESHOLD, words: int =
 
         return step
 
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    prefixes = map_batches(texts.select("node", "root", "sig", "cells", "text"), make, f"node long, root long, sig {kinds['sig']}, cells {kinds['cells']}, n long, kmer long, place long")
+    prefixes = map_batches(texts.select("node", "root", "text"), make, "node long, root long, n long, kmer long, place long")
     prefixes = materialize(prefixes, "prefixes")
     by_class = prefixes.groupBy("kmer", "root").agg(F.count(F.lit(1)).alias("held"))
-    shared = by_class.groupBy("kmer").agg(F.max_by("root", F.struct("held", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    shared = materialize(shared.select("kmer", "top"), "shared-kmers")
-    rows = materialize(prefixes.join(shared, "kmer"), "shared-prefixes")  # a plain table, so that a hot k-mer's join can be split
-    forget(prefixes, shared)
+    shared = by_class.groupBy("kmer").agg(F.max(F.struct("held", "root")).alias("top"), F.sum("held").alias("total"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    heavy = F.col("total") * (F.col("total") - F.col("top.held")) > HEAVY
+    shared = materialize(shared.select("kmer", F.col("top.root").alias("top"), heavy.alias("heavy")), "shared-kmers")
+    met = materialize(prefixes.join(shared, "kmer"), "met-prefixes")
+    known = only_among(sketched.select("node", "sig", "cells"), "node", texts.select("node"), texts.count())
+    unknown = [F.lit(None).cast(sketched.schema[c].dataType).alias(c) for c in ("sig", "cells")]
+    rows = met.filter("not heavy").select("*", *unknown).unionByName(met.filter("heavy").join(known, "node"))
+    rows = materialize(rows, "shared-prefixes")  # a plain table, so that a hot k-mer's join can be split
+    forget(prefixes, shared, met)
     names = ("node", "root", "n", "place", "sig", "cells")
     sides = {end: rows.select(F.col("kmer").alias(f"kmer_{end}"), "top" if end == "x" else F.lit(0).alias("none"), *[F.col(c).alias(f"{c}_{end}") for c in names]) for end in "xy"}
     x, y = ({c: F.col(f"{c}_{end}") for c in names} for end in "xy")
@@ -382,25 +449,27 @@ def left_candidates(texts: DataFrame, threshold: float = THRESHOLD, words: int =
     # Two texts outside the largest class would meet twice but for the order of their names.
     once = (y["root"] == F.col("top")) | (x["node"] < y["node"])
     others = sides["x"].filter("root_x != top")
-    met = others.join(sides["y"], (F.col("kmer_x") == F.col("kmer_y")) & (x["root"] != y["root"]) & once & reach & _agree(x["sig"], y["sig"], 1) & _alike(x, y, threshold))
+    agree = x["sig"].isNull() | _agree(x["sig"], y["sig"], 1)
+    met = others.join(sides["y"], (F.col("kmer_x") == F.col("kmer_y")) & (x["root"] != y["root"]) & once & reach & agree & _alike(x, y, threshold))
     first = x["node"] < y["node"]
     pick = lambda c: [F.when(first, x[c]).otherwise(y[c]), F.when(first, y[c]).otherwise(x[c])]
     (a, b), (ra, rb) = pick("node"), pick("root")
-    agree = F.size(F.filter(F.zip_with(x["sig"], y["sig"], lambda p, q: p == q), lambda same: same))
-    pairs = materialize(met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb"), agree.alias("agree")).distinct(), "left-pairs")
+    pairs = materialize(met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct(), "left-pairs")
     forget(rows)
-    return pairs
+    left = materialize(ruled_in(pairs, sketched, pairs.count(), 1, threshold), "ruled-in")
+    forget(pairs)
+    return left
 
 
-def left_links(nodes: DataFrame, keyed: DataFrame, key: str, roots: DataFrame, tested: DataFrame, threshold: float, words: int, n: int) -> DataFrame:
+def left_links(nodes: DataFrame, sketched: DataFrame, keyed: DataFrame, key: str, roots: DataFrame, tested: DataFrame, threshold: float, words: int, n: int) -> DataFrame:
     """The classes (``node, root``) after all pairs that :func:`left_candidates` leaves have been tested, unless their texts are in one class by then."""
     needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
     needed = materialize(only_among(needed, "node", nodes.select("node"), nodes.count()).join(nodes, "node"), "left-texts")
-    pairs = left_candidates(needed, threshold, words)
+    pairs = left_candidates(needed, sketched, threshold, words)
     left = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "left-pairs")
     forget(pairs)
-    # Of each two classes the pair that agrees most goes first, which saves most of the others where classes are large.
-    likely = F.max(F.struct("agree", "a", "b")).alias("p")
+    # One pair of each two classes goes first, which saves most of the others where classes are large.
+    likely = F.min(F.struct(F.xxhash64("a", "b").alias("draw"), "a", "b")).alias("p")
     one = materialize(left.groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(likely).select("p.a", "p.b"), "one-pairs", left.count())
     for rest in (False, True):
         pairs = one
@@ -498,25 +567,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same", n)
     of_row = materialize(rows.select("row", "doc_id", "same").join(nodes, "same").select("row", "doc_id", "node"), "nodes")
     short = F.transform("sample", lambda x: (x % 128).cast("tinyint")).alias("sig")
-    texts = rows.filter("n_kmers > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_kmers", "sample", short, "cells")
-    texts = materialize(texts, "distinct")
+    wanted = rows.filter("n_kmers > 0").select(F.col("row").alias("node"), "n_kmers", "sample", short, "cells")
+    copies = materialize(of_row.filter("row != node").select(F.col("row").alias("node")), "copies", n)
+    texts = materialize(none_among(wanted, "node", copies, copies.count()), "distinct")
     # Step 1: classes of the large groups.
     tested = materialize(first_candidates(texts, n, min(FIRST, samples), threshold), "pairs", 2 * FIRST * n)
     roots = components(_verified(keyed, key, tested, threshold, words))
     # Step 2: one text of each class in each bucket.
     mixed, ends = class_rows(texts, roots, n, samples)
-    more = candidates(texts, mixed, ends, threshold).join(tested, ["a", "b"], "left_anti")
+    more = candidates(texts, mixed, ends, n * samples, threshold).join(tested, ["a", "b"], "left_anti")
     more = materialize(more, "pairs", 2 * samples * n)
     roots = merged(roots, _verified(keyed, key, more, threshold, words))
     # Step 3: all that is left in buckets of several classes.
     left = mixed_nodes(texts, mixed, roots, samples, n)
     if left is not None:
-        roots = left_links(left, keyed, key, roots, tested.unionByName(more), threshold, words, n)
+        roots = left_links(left, texts, keyed, key, roots, tested.unionByName(more), threshold, words, n)
     whole = materialize(of_row.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root")), "classes", n)
     best = F.struct(F.col("doc_id").isNotNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     classes = whole.groupBy("root").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     classes = materialize(classes, "groups", n)
-    forget(rows, nodes, of_row, texts, mixed, ends, tested, more, *([left] if left is not None else []), *([] if row_col else [source]))
+    forget(rows, nodes, of_row, copies, texts, mixed, ends, tested, more, *([left] if left is not None else []), *([] if row_col else [source]))
     joined = whole.join(classes, "root", "left")
     alone = F.col("best").isNull()
     return joined.select(

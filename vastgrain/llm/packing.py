@@ -1,13 +1,17 @@
 """Packing token sequences: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
-Each document is tokenised and closed by an end id, then cut at multiples of the sequence length; only the
-rest of a document (less than one sequence) has to be fitted. Documents are dealt at random over groups of
-bounded size (a round-robin exchange, so a common key gathers nowhere), and every group is packed on its own:
-pieces by falling length, each into the first open sequence that has room. A tournament tree over the free
-room of the sequences finds that one in logarithmic time.
+Each document is tokenised and closed by an end id, then cut at multiples of the sequence length; a full piece
+is a sequence by itself and stays where it is, and only the rest of a document (less than one sequence) has to be
+fitted. Every document draws a random number that sends it to one of the groups of about ``GROUP_DOCS`` documents, so
+copies and common keys gather nowhere. Every group is packed on its own: pieces by falling length, each into the first
+open sequence that has room. A tournament tree over the free room of the sequences finds that one in logarithmic time.
+
+The pieces are stored before they are dealt, so a lost executor changes neither the draw nor the groups. A task packs
+several groups, one after the other.
 
 Cases: null text counts as empty, which is one piece holding the end id alone; repeated rows are packed each;
-an empty table gives an empty result; a null doc_id is kept as null. Long texts are tokenised whole.
+an empty table gives an empty result; a null doc_id is kept as null; other columns of the documents are ignored, also
+ones with the names used here. Long texts are tokenised whole.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, text_of
+from .common import map_batches, materialize, text_of
 
 CAPACITY = 2048
 #: Documents in a group.
@@ -98,7 +102,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacit
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             row, start, length, total, ids = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 data = coder.encode(text) + last
                 n = len(data) // 4
                 for at in range(0, n, capacity):
@@ -108,14 +112,15 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacit
                     total.append(n)
                     ids.append(data[4 * at : 4 * (at + capacity)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "start", "length", "doc_tokens", "ids"],
+                [*(batch.column(i).take(pa.array(row, pa.int64())) for i in (0, 1)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "draw", "start", "length", "doc_tokens", "ids"],
             )
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), make, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    draw = F.xxhash64(F.monotonically_increasing_id())  # a number for each row, whatever it holds
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), draw.alias("draw"), text_of(text_col).alias("text")), make, f"doc_id {kind}, draw long, start long, length long, doc_tokens long, ids binary")
 
 
 class Tournament:
@@ -156,26 +161,40 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, length_col: str = "length") -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` (both long) to ``pieces``; lengths are from 1 to ``capacity``.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` (both long) to ``pieces`` (with ``draw, start, length``) and drop ``draw``.
 
-    ``documents`` sets the number of groups only. Other columns travel along, so drop bulky ones first.
+    Lengths are from 1 to ``capacity``. Other columns travel along, so drop bulky ones first; none may be called
+    ``sequence_id``, ``offset`` or ``group_number``.
     """
-    groups = max(1, -(-documents // group_docs))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("__group", T.IntegerType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        frame = pd.concat(held, ignore_index=True)
+    clash = {"sequence_id", "offset", "group_number"} & {c.lower() for c in pieces.columns}
+    if clash:
+        raise ValueError(f"pieces have columns {sorted(clash)}")
+    stored = materialize(pieces, "pieces")
+    groups = max(1, -(-stored.filter("start = 0").count() // group_docs))
+    schema = T.StructType([*stored.schema.fields, T.StructField("group_number", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
         # Rows arrive in any order; ties of length are put in an order of their contents, so a task that runs again packs alike.
-        frame = frame.iloc[np.argsort(pd.util.hash_pandas_object(frame, index=False).to_numpy(), kind="stable")].reset_index(drop=True)
-        bins, offsets = first_fit_decreasing(frame[length_col].to_numpy(), capacity)
-        yield frame.assign(sequence_id=(frame["__group"].to_numpy().astype(np.int64) << 32) + bins, offset=offsets)
+        frame = frame.iloc[np.argsort(pd.util.hash_pandas_object(frame, index=False).to_numpy(), kind="stable")]
+        bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), capacity)
+        return frame.assign(sequence_id=((frame["group_number"].to_numpy() << 32) + bins << 1) + 1, offset=offsets)
 
-    dealt = pieces.repartition(groups).withColumn("__group", F.spark_partition_id())
-    return dealt.mapInPandas(run, schema).drop("__group")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the group that may go on in the next batch
+        for batch in batches:
+            for number, part in batch.groupby("group_number", sort=False):
+                if held and held[0]["group_number"].iloc[0] != number:
+                    yield packed(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part)
+        if held:
+            yield packed(pd.concat(held, ignore_index=True))
+
+    rest = stored.filter(F.col("length") < capacity).withColumn("group_number", F.pmod("draw", F.lit(groups)))
+    fitted = rest.repartition("group_number").sortWithinPartitions("group_number").mapInPandas(run, schema).drop("group_number")
+    full = stored.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
+    return fitted.unionByName(full).drop("draw")
 
 
 def padded_length(filled: int, capacity: int = CAPACITY) -> int:

@@ -33,10 +33,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    cut = packing.cut_documents(docs, tokenizer_file("byte_bpe_50k.json"))
-    pieces = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(pieces, docs.count())
+    cut = packing.cut_documents(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack(cut.select("doc_id", "draw", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
