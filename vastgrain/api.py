@@ -76,31 +76,31 @@ class Dataset:
         return parts.mapInArrow(read, self.frame.schema)
 
     def batches(self, columns: Sequence[str] | None = None, rows: int = 65_536) -> Iterator[pa.RecordBatch]:
-        """Record batches on the driver, a partition at a time, charged to the budget while held."""
-        frame = self.frame.select(*columns) if columns else self.frame
-        names = frame.columns
+        """Record batches on the driver, made by the executors and fetched a partition at a time; a batch is charged to the budget before it is unpacked."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        frame = self.frame.select(*columns) if columns else self.frame
         schema = to_arrow_schema(frame.schema)
-        held: list = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            batch = pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in held], schema=schema)
+        def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts:
+                for at in range(0, batch.num_rows, rows):
+                    piece = batch.slice(at, rows)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, piece.schema) as out:
+                        out.write_batch(piece)
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([piece.nbytes])], ["data", "size"])
+
+        for row in frame.mapInArrow(packed, "data binary, size long").toLocalIterator(prefetchPartitions=False):
             if self.budget:
-                self.budget.acquire(batch.nbytes)
+                self.budget.acquire(row["size"])
             try:
-                yield batch
+                with pa.ipc.open_stream(row["data"]) as stream:
+                    for batch in stream:
+                        yield pa.RecordBatch.from_arrays(batch.columns, schema=pa.schema([f.with_name(n) for f, n in zip(batch.schema, schema.names, strict=True)]))
             finally:
                 if self.budget:
-                    self.budget.release(batch.nbytes)
-
-        for row in frame.select(*names).toLocalIterator(prefetchPartitions=False):
-            held.append(row)
-            if len(held) == rows:
-                yield from out()
-                held = []
-        if held:
-            yield from out()
+                    self.budget.release(row["size"])
 
     def numpy(self, columns: Sequence[str], rows: int = 65_536) -> Iterator[dict[str, np.ndarray]]:
         for b in self.batches(columns, rows):
@@ -139,3 +139,38 @@ def to_frame(spark: SparkSession, value) -> DataFrame:
         a = value.reshape(len(value), -1)
         return spark.createDataFrame(pd.DataFrame(a, columns=[f"c{i}" for i in range(a.shape[1])]))
     return spark.createDataFrame(pd.DataFrame(value))
+
+
+def narrow(table: pa.Table) -> pa.Table:
+    """An Arrow table with 32-bit offsets: large strings, binaries and lists become the plain ones, dictionaries of them too."""
+
+    def plain(kind: pa.DataType) -> pa.DataType:
+        if pa.types.is_large_string(kind):
+            return pa.string()
+        if pa.types.is_large_binary(kind):
+            return pa.binary()
+        if pa.types.is_large_list(kind) or pa.types.is_list(kind):
+            return pa.list_(plain(kind.value_type))
+        if pa.types.is_dictionary(kind):
+            return pa.dictionary(kind.index_type, plain(kind.value_type), kind.ordered)
+        if pa.types.is_struct(kind):
+            return pa.struct([pa.field(f.name, plain(f.type), f.nullable) for f in kind])
+        return kind
+
+    return table.cast(pa.schema([pa.field(f.name, plain(f.type), f.nullable, f.metadata) for f in table.schema]))
+
+
+def resident_bytes(value) -> int:
+    """Bytes that an array, table, frame, text or container of these holds; a DataFrame's are what the optimiser expects."""
+    if isinstance(value, DataFrame):
+        return int(str(value._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if isinstance(value, dict):
+        return sum(map(resident_bytes, value.values()))
+    if isinstance(value, (list, tuple, set)):
+        return sum(map(resident_bytes, value))
+    if hasattr(value, "memory_usage"):
+        usage = value.memory_usage(deep=True)
+        return int(usage.sum() if hasattr(usage, "sum") else usage)
+    if hasattr(value, "nbytes"):
+        return int(value.nbytes)
+    return len(value.encode() if isinstance(value, str) else value) if isinstance(value, (str, bytes)) else 0

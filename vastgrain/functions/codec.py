@@ -6,12 +6,12 @@ A block of 128 values is stored as offsets from its least value, or as zigzag de
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 128
@@ -195,3 +195,63 @@ def ratio_report(arrays: DataFrame, name: str, values: str) -> DataFrame:
     sized = arrays.select(name, (F.size(values) * 8).cast("long").alias("raw"), F.octet_length(pack_column(F.col(values))).cast("long").alias("packed"))
     return sized.groupBy(name).agg(F.sum("raw").alias("raw"), F.sum("packed").alias("packed"), (F.sum("raw") / F.sum("packed")).alias("ratio"))
 
+
+
+class PackedStore:
+    """Named tables whose integer columns are held packed, as temporary views of stored Parquet under a byte budget.
+
+    A table is packed in blocks of ``block`` rows by order; :meth:`get` unpacks it lazily. What is put over the budget is refused,
+    and nothing is evicted that isn't asked for.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, budget: int):
+        self.spark, self.path, self.budget = spark, path.rstrip("/"), budget
+        self.held: dict[str, tuple[int, int, list[str]]] = {}
+
+    @property
+    def used(self) -> int:
+        return sum(packed for _, packed, _ in self.held.values())
+
+    def put(self, name: str, table: DataFrame, order: str, block: int = 4096) -> float:
+        """Pack integer columns of a table by blocks of ``order div block``; the ratio of raw to packed bytes."""
+        columns = [f.name for f in table.schema if f.name != order and f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")]
+        if not columns or set(table.columns) != {order, *columns}:
+            raise TypeError(f"only integer columns can be packed, ordered by one of them: {table.dtypes}")
+        rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
+        blocks = table.groupBy(F.expr(f"{order} div {block}").alias("block")).agg(rows.alias("r"))  # at most ``block`` values of the order a block
+        packed = blocks.select("block", *[pack_column(F.col("r")[c].cast("array<bigint>")).alias(c) for c in (order, *columns)])
+        packed.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        stored = self.spark.read.parquet(f"{self.path}/{name}")
+        sizes = stored.agg(F.sum(sum((F.octet_length(c) for c in (order, *columns)), F.lit(0))).alias("packed")).first()
+        raw, size = table.count() * 8 * (1 + len(columns)), int(sizes["packed"] or 0)
+        if self.used - (self.held[name][1] if name in self.held else 0) + size > self.budget:
+            self.evict(name)
+            raise MemoryError(f"{size} packed bytes of {name}; {self.budget - self.used} are free")
+        self.held[name] = (raw, size, [order, *columns])
+        return raw / max(1, size)
+
+    def get(self, name: str) -> DataFrame:
+        """The table, unpacked as it is read."""
+        columns = self.held[name][2]
+        arrays = self.spark.read.parquet(f"{self.path}/{name}").select(*[unpack_column(F.col(c)).alias(c) for c in columns])
+        return arrays.select(F.explode(F.arrays_zip(*columns)).alias("r")).select("r.*")
+
+    def views(self, names: Sequence[str] | None = None) -> list[str]:
+        """A SQL view of each table, by its name."""
+        out = list(self.held if names is None else names)
+        for name in out:
+            self.get(name).createOrReplaceTempView(name)
+        return out
+
+    def evict(self, name: str) -> None:
+        """Delete a table and its view."""
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        self.held.pop(name, None)
+        self.spark.catalog.dropTempView(name)
+
+    def report(self) -> DataFrame:
+        """``name, raw, packed, ratio`` of what is held."""
+        rows = [(n, raw, packed, raw / max(1, packed)) for n, (raw, packed, _) in self.held.items()]
+        return self.spark.createDataFrame(rows, "name string, raw long, packed long, ratio double")

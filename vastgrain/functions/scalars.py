@@ -279,6 +279,12 @@ def gene_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(phrases, tokens)), _gene_like))
 
 
+def decode_text(value: Column, missing: tuple[str, ...] = ()) -> Column:
+    """Text out of UTF-8 bytes: up to the first zero byte; nulls and what is in ``missing`` are null."""
+    text = F.substring_index(F.decode(value, "UTF-8"), "\0", 1)
+    return F.when(~text.isin(*missing), text) if missing else text
+
+
 def natural_key(text: Column) -> Column:
     """Sorts digits as numbers: every run of digits, padded to 20 places."""
     runs = F.split(F.regexp_replace(text, r"(\d+)", "\u0001$1\u0001"), "\u0001")

@@ -30,6 +30,36 @@ def raster(points: DataFrame, window: tuple[int, int, int, int], shape: int, x:
     return inside.groupBy(pixel(y, y0, y1, shape).alias("iy"), pixel(x, x0, x1, shape).alias("ix")).agg(F.sum(value).cast("long").alias("total"))
 
 
+def thumbnail(levels: DataFrame, bins: Sequence[int], window: tuple[int, int, int, int], shape: int) -> DataFrame:
+    """A raster of a window out of a pyramid (``bin, x, y, count``): of the coarsest level that still has a bin for each pixel, else the finest."""
+    size = min(window[1] - window[0], window[3] - window[2])
+    fine = [b for b in bins if size // b >= shape]
+    chosen = max(fine) if fine else min(bins)
+    return raster(levels.filter(F.col("bin") == chosen), window, shape)
+
+
+def log_scaled(image: DataFrame, value: str = "total", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Add ``level`` from 0 to 1 for display: log1p of the value between two percentiles of the values above 0 (all 0 where these are equal)."""
+    bounds = image.filter(F.col(value) > 0).agg(F.percentile(F.log1p(value), F.array(F.lit(low), F.lit(high))).alias("q"))
+    lo, hi, v = F.col("q")[0], F.col("q")[1], F.log1p(F.greatest(F.col(value), F.lit(0)))
+    level = F.when(hi > lo, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))).otherwise(0.0)
+    return image.crossJoin(bounds).withColumn("level", F.coalesce(level, F.lit(0.0))).drop("q")  # bounds is one row
+
+
+def nice_ticks(lo: float, hi: float, n: int = 5) -> list[float]:
+    """About ``n`` round places within [lo, hi]: multiples of 1, 2 or 5 times a power of ten."""
+    import math
+
+    if not hi > lo:
+        return [lo]
+    raw = (hi - lo) / max(1, n)
+    power = 10.0 ** math.floor(math.log10(raw))
+    share = raw / power
+    step = (1 if share < 1.5 else 2 if share < 3.5 else 5 if share < 7.5 else 10) * power
+    first = math.ceil(lo / step - 1e-9)
+    return [k * step for k in range(first, math.floor(hi / step + 1e-9) + 1)]
+
+
 def canvas_cell(c: str | Column, lo: float, hi: float, size: int) -> Column:
     """Cell of a floating value: floor, clipped, so that the last cell is closed."""
     f = F.floor((_c(c).cast("double") - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(float(size)))

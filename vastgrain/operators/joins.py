@@ -166,16 +166,25 @@ def union_ragged(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def panel_join(measured: DataFrame, panel: DataFrame, genes: DataFrame, key: str = "symbol") -> DataFrame:
-    """Every panel gene with what is measured of it: ``name, found, canonical, known, measured, value``.
+def panel_table(panel: DataFrame, genes: DataFrame, members: DataFrame | None = None, id_col: str = "symbol") -> DataFrame:
+    """Every panel gene with what the gene map knows of it: ``pos, query, id, symbol, ids, aliases, known``.
 
-    ``panel`` has ``name`` and is resolved through the gene map; ``known`` tells whether the map has it, ``measured`` whether a
-    row of ``measured`` (``gene, value``) does, by its canonical name. Panel genes are kept in any case.
+    ``panel`` has ``query, pos``. A name of a group (``members``: ``name, member, at``) gives a row a member. A name the map
+    doesn't know is kept, as its own id, with ``known`` false; its symbol is '' unless it looks like one.
     """
-    resolved = with_fallback(resolve(panel.select("name"), genes)).withColumn("known", F.col("found").isNotNull())
-    per = measured.groupBy(F.upper("gene").alias("__gene")).agg(F.sum("value").alias("value"))
-    joined = resolved.withColumn("__gene", F.upper(F.coalesce("canonical", "name"))).join(per, "__gene", "left")
-    return joined.select("name", "found", "canonical", "known", F.col("value").isNotNull().alias("measured"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    wanted = panel.select("query", "pos", F.col("query").alias("name"), F.lit(0).alias("at"))
+    if members is not None:
+        parts = members.select(F.upper("name").alias("__group"), F.col("member").alias("__member"), F.col("at").alias("__at"))
+        wanted = panel.join(parts, F.upper("query") == F.col("__group"), "left").select("query", "pos", F.coalesce("__member", "query").alias("name"), F.coalesce("__at", F.lit(0)).alias("at"))
+    found = with_fallback(resolve(wanted, genes, "name", "rec"))
+    joined = found.withColumn("__rec", F.col("found")).join(genes.withColumnRenamed("rec", "__rec"), "__rec", "left")
+    known = F.col("__rec").isNotNull()
+    empty = F.array().cast("array<string>")
+    return joined.select(
+        "pos", "at", "query", F.coalesce(F.when(known, F.col(id_col)), "name").alias("id"),
+        F.when(known, F.col("symbol")).when(S.symbol_like(F.col("name")), F.trim("name")).otherwise("").alias("symbol"),
+        F.coalesce("ids", empty).alias("ids"), F.coalesce("aliases", empty).alias("aliases"), known.alias("known"),
+    ).orderBy("pos", "at").drop("at")
 
 
 def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, first: str = "first", end: str = "end") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 MITO = ("MT-", "mt-")
 RIBO = ("RPS", "RPL", "Rps", "Rpl")
 
@@ -103,11 +105,29 @@ def greedy_bounds(sizes: Sequence[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Rows of a Gram matrix that are summed together, and ways its parts are spread in the first step.
+GRAM_ROWS, GRAM_WAYS = 64, 32
+
+
+def _sum_blocks(frame: pd.DataFrame, *keys: str) -> pd.DataFrame:
+    total = np.frombuffer(frame["g"].iloc[0]).copy()
+    for g in frame["g"].iloc[1:]:
+        total += np.frombuffer(g)
+    return pd.DataFrame({**{k: [int(frame[k].iloc[0])] for k in keys}, "g": [total.tobytes()]})
+
+
+def sum_grams(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Blocks of rows of a Gram matrix (``block, way, g``), summed in two steps on the executors, so that no task meets every partition's part."""
+    some = parts.groupBy("block", "way").applyInPandas(lambda f: _sum_blocks(f, "block", "way"), "block int, way int, g binary")
+    whole = some.groupBy("block").applyInPandas(lambda f: _sum_blocks(f, "block"), "block int, g binary")
+    return {r["block"]: np.frombuffer(r["g"]) for r in whole.collect()}  # one matrix, bounded by the chosen genes
+
+
 def pca(matrix: DataFrame, genes: Sequence, means: Sequence[float], deviations: Sequence[float], n_cells: int, n_comps: int, max_value: float = 10.0) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Exact PCA of scaled, clipped values of chosen genes: (components, variances, scores DataFrame ``cell, pcs``).
 
-    ``matrix`` has ``cell, gene, logged`` and is partitioned by cell once; absent entries count as scaled zeros. Partial
-    Gram matrices (genes x genes, bounded by the number of chosen genes) are summed on the executors and on the driver.
+    ``matrix`` has ``cell, gene, logged`` and is dealt by cell; absent entries count as scaled zeros. It is read twice, so it is
+    stored first. The driver holds one Gram matrix of the chosen genes.
     """
     order = {g: i for i, g in enumerate(genes)}
     mu, sd = np.asarray(means, float), np.asarray(deviations, float)
@@ -138,20 +158,20 @@ def pca(matrix: DataFrame, genes: Sequence, means: Sequence[float], deviations:
             yield held
 
     def gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, s, n = np.zeros((k, k)), np.zeros(k), 0
+        from pyspark import TaskContext
+
+        way, g = TaskContext.get().partitionId() % GRAM_WAYS, np.zeros((k + 1, k + 1))
         for f in whole_cells(frames):
-            cells, d = rows(f)
+            d = rows(f)[1]
+            d = np.hstack([d, np.ones((len(d), 1))])  # its last row sums the columns and counts the cells
             g += d.T @ d
-            s += d.sum(0)
-            n += len(cells)
-        yield pd.DataFrame({"g": [g.tobytes()], "s": [s.tobytes()], "n": [n]})
-
-    chosen = matrix.select("cell", "gene", "logged").repartition("cell").sortWithinPartitions("cell")
-    g, s, n = np.zeros((k, k)), np.zeros(k), 0
-    for r in chosen.mapInPandas(gram, "g binary, s binary, n long").toLocalIterator():
-        g += np.frombuffer(r["g"]).reshape(k, k)
-        s += np.frombuffer(r["s"])
-        n += r["n"]
+        for block, at in enumerate(range(0, k + 1, GRAM_ROWS)):
+            yield pd.DataFrame({"block": [block], "way": [way], "g": [g[at : at + GRAM_ROWS].tobytes()]})
+
+    chosen = stored(matrix.select("cell", "gene", "logged"), "chosen").repartition("cell").sortWithinPartitions("cell")
+    blocks = sum_grams(chosen.mapInPandas(gram, "block int, way int, g binary"))
+    whole = np.concatenate([blocks[b] for b in sorted(blocks)]).reshape(k + 1, k + 1) if blocks else np.zeros((k + 1, k + 1))
+    g, s, n = whole[:k, :k].copy(), whole[k, :k].copy(), int(whole[k, k])
     missing = n_cells - n  # cells without any entry
     g += missing * np.outer(zero, zero)
     s += missing * zero

@@ -77,8 +77,14 @@ def suppress(boxes: Sequence[tuple[float, float, float, float, float]], k: int,
 def similar_tiles(profiles: DataFrame, tx: int, ty: int, tile: int, stride: int, k: int, overlap: float = 0.2) -> DataFrame:
     """The k tiles most like one, overlapping neither it nor each other by much: ``rank, tx, ty, score``."""
     box = lambda a, b: (a * stride, a * stride + tile, b * stride, b * stride + tile)
-    few = tile_similarity(profiles, tx, ty).orderBy(F.desc("score"), "tx", "ty").limit(max(20 * k, 60)).collect()  # a top-k report
-    kept = suppress([(*box(r["tx"], r["ty"]), r["score"]) for r in few], k, overlap, [box(tx, ty)])
+    ranked = tile_similarity(profiles, tx, ty).orderBy(F.desc("score"), "tx", "ty")
+    asked = max(20 * k, 60)
+    while True:  # more of the best tiles, until enough of them are apart or none is left
+        few = ranked.limit(asked).collect()
+        kept = suppress([(*box(r["tx"], r["ty"]), r["score"]) for r in few], k, overlap, [box(tx, ty)])
+        if len(kept) == k or len(few) < asked:
+            break
+        asked *= 4
     return profiles.sparkSession.createDataFrame([(n, few[i]["tx"], few[i]["ty"], float(few[i]["score"])) for n, i in enumerate(kept)], "rank int, tx int, ty int, score double")
 
 

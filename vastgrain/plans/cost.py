@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -133,6 +133,29 @@ def column_stats(footer: DataFrame) -> DataFrame:
     return footer.groupBy("column").agg(F.sum("num_values").alias("num_values"), F.sum("nulls").alias("nulls"), F.sum("column_bytes").alias("bytes"), F.min("low_number").alias("low_number"), F.max("high_number").alias("high_number"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def row_group_overview(footer: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Row groups that meet rows [lo, hi): ``middle, rows, bytes_per_row, spans`` (each numeric column's high less its low). From footers alone."""
+    groups = footer.groupBy("file", "row_group").agg(F.max("rows").alias("rows"), F.max("bytes").alias("bytes"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("low_number").isNotNull(), F.struct("column", F.col("high_number") - F.col("low_number")))))).alias("spans"))
+    end = F.sum("rows").over(Window.orderBy("file", "row_group"))  # a row a row group
+    placed = groups.withColumn("__end", end).withColumn("__begin", F.col("__end") - F.col("rows")).filter((F.col("__end") > lo) & (F.col("__begin") < hi))
+    return placed.select("file", "row_group", ((F.col("__begin") + F.col("__end")) / 2).alias("middle"), "rows", (F.col("bytes") / F.greatest("rows", F.lit(1))).alias("bytes_per_row"), "spans")
+
+
+def entries_overview(matrix: DataFrame, lo: int, hi: int, buckets: int) -> DataFrame:
+    """Genes detected in buckets of cells [lo, hi): ``bucket, cells, mean, most``; cells without an entry count as 0. ``matrix`` has ``cell, gene``."""
+    width = max(1, -(-(hi - lo) // buckets))
+    per = matrix.filter((F.col("cell") >= lo) & (F.col("cell") < hi)).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    held = per.groupBy(F.floor((F.col("cell") - lo) / F.lit(width)).cast("long").alias("bucket")).agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    every = matrix.sparkSession.range(-(-(hi - lo) // width)).select(F.col("id").alias("bucket"), F.least(F.lit(width), F.lit(hi - lo) - F.col("id") * width).alias("cells"))
+    return every.join(held, "bucket", "left").select("bucket", "cells", (F.coalesce("total", F.lit(0)) / F.col("cells")).alias("mean"), F.coalesce("most", F.lit(0)).alias("most"))
+
+
+def index_cost(records: int, payload_bytes: int, lo: int, hi: int | None = None, offset_bytes: int = 16, budget: int = 1 << 30, chunk_bytes: int = 64 << 20) -> Cost:
+    """What records [lo, hi) of an index take: their share of the payload, and an offset each."""
+    n = max(0, min(records, records if hi is None else hi) - max(0, lo))
+    return cost(n, payload_bytes / max(1, records) + offset_bytes, budget, chunk_bytes)
+
+
 def rows_per_chunk(bytes_per_row: float, chunk_bytes: int) -> int:
     """Rows in a chunk, from 256 to 4,194,304."""
     return int(min(4_194_304, max(256, chunk_bytes / max(bytes_per_row, 1e-9))))

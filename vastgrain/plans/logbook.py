@@ -11,6 +11,8 @@ import os
 import time
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +44,9 @@ class Log:
 
     def lines(self) -> DataFrame:
         """``value`` of every line, also from files another tool appended to."""
-        if not os.path.isdir(self.folder) or not any(n.endswith(".jsonl") for n in os.listdir(self.folder)):
+        if not os.path.isdir(self.folder) or not any(n.endswith((".jsonl", ".json")) for n in os.listdir(self.folder)):
             return self.spark.createDataFrame([], "value string")
-        return self.spark.read.option("pathGlobFilter", "*.jsonl").text(self.folder)
+        return self.spark.read.option("pathGlobFilter", "*.{jsonl,json}").text(self.folder)
 
     def tail(self, n: int = 20) -> DataFrame:
         return self.lines().withColumn("line", F.get_json_object("value", "$.line").cast("long")).orderBy(F.desc("line")).limit(n)
@@ -136,6 +138,41 @@ class Journal(Log):
         self.entries().createOrReplaceTempView(name)
 
 
+_AMBIENT: ContextVar[tuple[Journal | None, dict]] = ContextVar("ambient", default=(None, {}))
+
+
+@contextmanager
+def recording(journal: Journal, **tags):
+    """Within the block :func:`note` writes to ``journal``; tags of nested blocks are merged, the inner ones win."""
+    token = _AMBIENT.set((journal, {**_AMBIENT.get()[1], **tags}))
+    try:
+        yield journal
+    finally:
+        _AMBIENT.reset(token)
+
+
+@contextmanager
+def quiet():
+    """Within the block nothing is recorded."""
+    token = _AMBIENT.set((None, {}))
+    try:
+        yield
+    finally:
+        _AMBIENT.reset(token)
+
+
+def note(op: str, dataset: str, window: Sequence[int] = (), **fields) -> bool:
+    """Record an operation in the journal of the surrounding :func:`recording`; whether it was. A journal that can't be written never fails the operation."""
+    journal, tags = _AMBIENT.get()
+    if journal is None:
+        return False
+    try:
+        journal.record(op, dataset, window, **{**tags, **fields})
+    except (OSError, TypeError, ValueError):
+        return False
+    return True
+
+
 class SelectionBook(Log):
     """Regions, intervals, loci, sequences and sets somebody marked, with a status and a history."""
 
@@ -154,12 +191,47 @@ class SelectionBook(Log):
     def delete(self, key: str) -> None:
         self.append({"event": "delete", "id": key, "fields": {}})
 
-    FIELDS = ("kind", "name", "geometry", "intent", "status", "note", "dataset")
+    def _settle(self, key: str, status: str, note: str, by: str) -> None:
+        self.update(key, status=status, **{k: v for k, v in (("note", note), ("by", by)) if v})
+
+    def review(self, key: str, note: str = "", by: str = "") -> None:
+        self._settle(key, "in-review", note, by)
+
+    def confirm(self, key: str, note: str = "", by: str = "") -> None:
+        self._settle(key, "confirmed", note, by)
+
+    def refute(self, key: str, note: str = "", by: str = "") -> None:
+        self._settle(key, "refuted", note, by)
+
+    def resolve(self, key: str, note: str = "", by: str = "") -> None:
+        self._settle(key, "resolved", note, by)
+
+    def annotate(self, key: str, **fields) -> None:
+        self.update(key, **fields)
+
+    def link(self, a: str, b: str, relation: str = "related") -> None:
+        """Link two selections both ways; the way back carries ``~`` before its relation."""
+        self.append({"event": "link", "id": a, "fields": {"to": b, "relation": relation}})
+        self.append({"event": "link", "id": b, "fields": {"to": a, "relation": relation.removeprefix("~") if relation.startswith("~") else f"~{relation}"}})
+
+    def links(self) -> DataFrame:
+        """``id, to, relation`` of links whose two ends live, each once."""
+        get = lambda p: F.get_json_object("value", f"$.{p}")
+        rows = self.lines().filter(get("event") == "link").select(get("id").alias("id"), get("fields.to").alias("to"), get("fields.relation").alias("relation")).distinct()
+        alive = self.all().select("id")
+        return rows.join(alive, "id", "left_semi").join(alive.withColumnRenamed("id", "to"), "to", "left_semi").select("id", "to", "relation")
+
+    def history(self, key: str) -> DataFrame:
+        """All events of one selection, in order."""
+        get = lambda p: F.get_json_object("value", f"$.{p}")
+        return self.lines().filter(get("id") == key).select(get("line").cast("long").alias("line"), get("event").alias("event"), get("fields").alias("fields")).orderBy("line")
+
+    FIELDS = ("kind", "name", "geometry", "intent", "status", "note", "dataset", "by")
 
     def all(self) -> DataFrame:
         """Living selections, each field as last written since its add."""
         get = lambda p: F.get_json_object("value", f"$.{p}")
-        events = self.lines().select(get("line").cast("long").alias("line"), get("event").alias("event"), get("id").alias("id"), *[get(f"fields.{f}").alias(f) for f in self.FIELDS]).filter("id is not null")
+        events = self.lines().filter(get("event") != "link").select(get("line").cast("long").alias("line"), get("event").alias("event"), get("id").alias("id"), *[get(f"fields.{f}").alias(f) for f in self.FIELDS]).filter("id is not null")
         return L.book_fold(events, fields=self.FIELDS)
 
     def open_questions(self) -> DataFrame:

@@ -146,12 +146,13 @@ def embedding_cosine(t):
 @query("pca")
 def pca(t):
     """Scores of each cell on five components of the most variable genes."""
-    m = matrix(t)
+    from ..sources.shared import stored
+
+    m = stored(matrix(t), "matrix")  # summed once, read by each of the passes
     n = m.select("cell").distinct().count()
     top = M.variable_genes(M.qc_genes(m), n, 50).select("gene")
-    norm = M.normalised(m)
-    stats = norm.join(top, "gene").groupBy("gene").agg(F.sum("logged").alias("s"), F.sum(F.col("logged") * F.col("logged")).alias("ss")).orderBy("gene").collect()  # a row a chosen gene
+    kept = stored(M.normalised(m).join(top, "gene"), "normalised")
+    stats = kept.groupBy("gene").agg(F.sum("logged").alias("s"), F.sum(F.col("logged") * F.col("logged")).alias("ss")).orderBy("gene").collect()  # a row a chosen gene
     means = [r["s"] / n for r in stats]
     devs = [(max(0.0, r["ss"] / n - (r["s"] / n) ** 2) * n / max(1, n - 1)) ** 0.5 for r in stats]
-    kept = norm.join(top, "gene")
     return M.pca(kept, [r["gene"] for r in stats], means, devs, n, 5)[2]

@@ -110,7 +110,7 @@ def json_field_filter(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).filter("k > 50")
 
 
-@query("session_windows")
+@query("session_windows", "WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS grp FROM s) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS n FROM g GROUP BY user_id, grp")
 def session_windows(t):
     w = F.session_window("ts", "2 hours")
     return t.events.groupBy("user_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
@@ -124,7 +124,7 @@ def reservation_replay(t):
     return replay(e, 100, Policy(ttl=400, idle=150, max_share=0.5))
 
 
-@query("status_machine")
+@query("status_machine", "WITH e AS (SELECT user_id AS id, event_id AS line, CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'described' WHEN 'click' THEN 'searched' WHEN 'error' THEN 'refuted' ELSE 'confirmed' END AS status FROM events) SELECT id, coalesce(arg_max(status, line) FILTER (status IN ('refuted', 'confirmed')), arg_max(status, CASE status WHEN 'open' THEN 1 WHEN 'described' THEN 2 WHEN 'searched' THEN 3 END)) AS status FROM e GROUP BY id")
 def status_machine(t):
     from ..streaming.live import fold_status
 

@@ -171,3 +171,55 @@ def build(spark: SparkSession, sources: Sequence[Source], path: str, genes: Data
     blueprint = json.dumps({"how": how, "pieces": built.pieces, "holes": built.holes}, sort_keys=True)
     spark.createDataFrame([(blueprint,)], "value string").coalesce(1).write.mode(mode).text(f"{built.path}/blueprint")
     return built
+
+
+@dataclass
+class State:
+    """What an orchestration has found out, kept as text so that people can read and mend it."""
+
+    pieces: DataFrame
+    resolutions: DataFrame | None = None
+    genes: DataFrame | None = None
+    columns: dict[str, str] = field(default_factory=dict)
+
+    def save(self, path: str) -> None:
+        """JSON lines of each table, with its schema, and the column map."""
+        spark, path = self.pieces.sparkSession, path.rstrip("/")
+        tables = {n: t for n, t in (("pieces", self.pieces), ("resolutions", self.resolutions), ("genes", self.genes)) if t is not None}
+        for name, table in tables.items():
+            table.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
+        meta = json.dumps({"columns": self.columns, "schemas": {n: t.schema.json() for n, t in tables.items()}})
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> State:
+        from pyspark.sql.types import StructType
+
+        path = path.rstrip("/")
+        meta = json.loads(spark.read.text(f"{path}/state").first()["value"])
+        tables = {n: spark.read.schema(StructType.fromJson(json.loads(schema))).json(f"{path}/{n}") for n, schema in meta["schemas"].items()}
+        return cls(columns=meta["columns"], **tables)
+
+    def to_csv(self, path: str) -> None:
+        """The pieces with their resolutions as one flat table: lists joined by ``; ``, nested values as JSON."""
+        table = self.pieces if self.resolutions is None else self.pieces.join(self.resolutions.withColumnRenamed("piece", "id"), "id", "left")
+        flat = []
+        for f in table.schema:
+            kind = f.dataType.simpleString()
+            flat.append(F.array_join(f.name, "; ").alias(f.name) if kind == "array<string>" else F.to_json(f.name).alias(f.name) if kind.startswith(("array", "struct", "map")) else F.col(f.name))
+        table.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+def read_pieces_csv(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The pieces of :meth:`State.to_csv` with the types they had (``like``)."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    out = []
+    for f in like.schema:
+        kind, text = f.dataType.simpleString(), F.coalesce(F.col(f.name), F.lit(""))
+        if kind == "array<string>":
+            out.append(F.when(text == "", F.array().cast(kind)).otherwise(F.split(text, "; ")).alias(f.name))
+        elif kind.startswith(("array", "struct", "map")):
+            out.append(F.from_json(f.name, f.dataType).alias(f.name))
+        else:
+            out.append((text if kind == "string" else F.col(f.name)).cast(kind).alias(f.name))
+    return rows.select(*out)

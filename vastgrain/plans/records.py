@@ -248,11 +248,6 @@ def spread_sample(t):
     return t.events.filter(F.col("event_id").isin(*Y.spread_indices(t.events.count(), 40))).select("event_id", "value")
 
 
-@query("footer_stats", "SELECT count(l_quantity) AS num_values, count(*) - count(l_quantity) AS nulls, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem")
-def footer_stats(t):
-    return t.lineitem.agg(F.count("l_quantity").alias("num_values"), (F.count(F.lit(1)) - F.count("l_quantity")).alias("nulls"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
-
-
 @query("read_plan_groups", "SELECT l_orderkey // 1000 AS grp, count(*) AS rows FROM lineitem GROUP BY 1 HAVING max(l_quantity) >= 49.5 AND min(l_quantity) <= 60")
 def read_plan_groups(t):
     return t.lineitem.groupBy(F.expr("l_orderkey div 1000").alias("grp")).agg(F.count(F.lit(1)).alias("rows"), F.max("l_quantity").alias("hi"), F.min("l_quantity").alias("lo")).filter("hi >= 49.5 and lo <= 60").select("grp", "rows")
@@ -297,8 +292,15 @@ def sliding_similarity(t):
     return Y.sliding_distance(series, "day", "v", [1.0, 0.0, -1.0])
 
 
-@query("catalogue_fold")
+@query(
+    "catalogue_fold",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS line, ts, CASE event_type WHEN 'signup' THEN 'record' WHEN 'view' THEN 'open' WHEN 'click' THEN 'stream' ELSE 'annotate' END AS ev FROM events),
+       m AS (SELECT key, max(line) FILTER (ev = 'record') AS r, coalesce(max(line) FILTER (ev = 'record'), min(line) FILTER (ev = 'open')) AS s FROM e GROUP BY key)
+       SELECT e.key, CASE WHEN r IS NULL THEN '' ELSE 't' || r END AS target, CAST(bool_or(ev = 'annotate') AS INT) AS n_facets, CAST(coalesce(sum(line % 100) FILTER (ev = 'stream'), 0) AS BIGINT) AS bytes_streamed,
+           CASE WHEN bool_or(ev = 'annotate') THEN true END AS confident, arg_max(epoch_us(ts), line)::DOUBLE AS last_seen FROM e JOIN m ON m.key = e.key WHERE line >= s GROUP BY e.key, r""",
+)
 def catalogue_fold(t):
     kind = F.expr("case event_type when 'signup' then 'record' when 'view' then 'open' when 'click' then 'stream' else 'annotate' end")
     payload = F.when(F.col("event_type") == "click", F.format_string('{"bytes": %d}', F.expr("event_id % 100"))).when(F.col("event_type") == "signup", F.format_string('{"target": "t%d"}', F.col("event_id"))).otherwise(F.lit('{"facets": {"assay": "x"}, "confident": true}'))
-    return L.catalogue_fold(t.events.select(F.col("event_id").alias("line"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), kind.alias("event"), F.col("user_id").cast("string").alias("key"), payload.alias("payload")))
+    entries = L.catalogue_fold(t.events.select(F.col("event_id").alias("line"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), kind.alias("event"), F.col("user_id").cast("string").alias("key"), payload.alias("payload")))
+    return entries.select("key", "target", F.size("facets").alias("n_facets"), "bytes_streamed", "confident", "last_seen")

@@ -9,16 +9,18 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import readers
+from . import containers, http, images, readers
 
 #: Extension to format; the longest that fits counts.
 FORMATS = {
     ".parquet": "parquet", ".orc": "orc", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".csv": "csv", ".tsv": "tsv", ".fa": "fastx", ".fasta": "fastx", ".fq": "fastx", ".fastq": "fastx",
     ".fa.gz": "fastx", ".fasta.gz": "fastx", ".fq.gz": "fastx", ".fastq.gz": "fastx", ".mtx": "mtx", ".mtx.gz": "mtx", ".gem": "gem", ".gem.gz": "gem", ".arrow": "arrow_ipc", ".feather": "arrow_ipc",
-    ".ipc": "arrow_ipc", ".nii": "nifti", ".nii.gz": "nifti", ".txt": "text", ".log": "text",
+    ".ipc": "arrow_ipc", ".nii": "nifti", ".nii.gz": "nifti", ".txt": "text", ".log": "text", ".h5ad": "h5ad", ".h5": "tenx_h5", ".gef": "gef", ".tif": "tiff", ".tiff": "tiff", ".btf": "tiff", ".zarr": "zarr", ".dcm": "dicom",
 }
-#: Binary containers without a library here; they are to be converted to the tables named.
-UNSUPPORTED = {".h5ad": "(cell, gene, value) rows", ".h5": "(cell, gene, value) rows", ".gef": "(bin, gene, x, y, count) rows", ".tif": "(y, x, value) rows", ".tiff": "(y, x, value) rows", ".zarr": "(y, x, value) rows", ".dcm": "(z, y, x, value) rows", ".xlsx": "CSV"}
+#: Containers that nothing here reads; they are to be converted to the tables named.
+UNSUPPORTED = {".xlsx": "CSV", ".xls": "CSV", ".rds": "MatrixMarket", ".loom": "h5ad"}
+#: Formats of the Python data sources, and the module that registers them.
+SOURCES = {"fastx": readers, "mtx": readers, "gem": readers, "arrow_ipc": readers, "nifti": readers, "h5ad": containers, "tenx_h5": containers, "gef": containers, "tiff": images, "zarr": images, "dicom": images}
 
 
 def format_of(target: str) -> str:
@@ -34,15 +36,21 @@ def format_of(target: str) -> str:
 
 
 def load(spark: SparkSession, target: str | Sequence[str], columns: Sequence[str] | None = None, **options) -> DataFrame:
-    """A DataFrame of a path, a glob, a folder of Parquet files, or a list of paths of one format."""
+    """A DataFrame of a path, a glob, a folder of Parquet files, a URL of a Parquet file, or a list of such of one format.
+
+    Folders of DICOM slices and Zarr arrays are opened by their ending, or by ``format``."""
     paths = [target] if isinstance(target, str) else list(target)
     local = paths[0].removeprefix("file://")
-    if os.path.isdir(local) and not local.lower().endswith(tuple(FORMATS)):
+    if "format" in options:
+        kind = options.pop("format")
+    elif os.path.isdir(local) and not local.lower().endswith(tuple(FORMATS)):
         kind = "parquet"
     else:
         kind = format_of(paths[0])
-    if kind in ("fastx", "mtx", "gem", "arrow_ipc", "nifti"):
-        readers.register(spark)
+    if paths[0].startswith(("http://", "https://")) and kind == "parquet":
+        return http.open_urls(spark, paths, columns, **options)
+    if kind in SOURCES:
+        SOURCES[kind].register(spark)
         frames = [spark.read.format(kind).options(**options).load(p) for p in paths]
         df = frames[0]
         for f in frames[1:]:

@@ -242,6 +242,44 @@ def gem_header(path: str) -> tuple[dict[str, str], dict[str, int], int]:
     raise ValueError(f"{path} is empty")
 
 
+#: Raised when the index of a GEM table changes its form.
+GEM_INDEX_VERSION = 1
+
+
+def index_gem(spark: SparkSession, path: str, sidecar: str, grid: int | None = None, reuse: bool = True):
+    """The density summary of a GEM table (``gy, gx, density, occupancy``) with its extent, kept beside it as Parquet: (summary, extent, grid).
+
+    A sidecar is used again while it has this version, the file's size and time, and the wanted grid (any, if none is
+    named); else it is built anew, with 512 unless told otherwise.
+    """
+    import json
+
+    from pyspark.sql import functions as F
+
+    from ..operators.grid import density_index
+
+    local = local_files(path)[0]
+    stamp = {"version": GEM_INDEX_VERSION, "size": os.path.getsize(local), "time": os.stat(local).st_mtime_ns}
+    if reuse:
+        try:
+            held = json.loads(spark.read.text(f"{sidecar}/meta").first()["value"])
+            if {k: held[k] for k in stamp} == stamp and grid in (None, held["grid"]):
+                return spark.read.parquet(f"{sidecar}/summary"), tuple(held["extent"]), held["grid"]
+        except Exception as e:  # no sidecar, or one that isn't readable: it is built
+            if "PATH_NOT_FOUND" not in str(e) and not isinstance(e, (KeyError, ValueError, TypeError)):
+                raise
+    register(spark)
+    points = spark.read.format("gem").load(path)
+    bounds = points.agg(F.min("x"), F.max("x") + 1, F.min("y"), F.max("y") + 1).first()
+    if bounds[0] is None:
+        raise ValueError(f"{path} has no rows")
+    size = grid or 512
+    density_index(points, tuple(bounds), size).write.mode("overwrite").parquet(f"{sidecar}/summary")
+    meta = json.dumps(stamp | {"grid": size, "extent": list(bounds)})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{sidecar}/meta")
+    return spark.read.parquet(f"{sidecar}/summary"), tuple(bounds), size
+
+
 class GemSource(DataSource):
     """``gene, x, y, count, exon`` of a GEM table; the header's offsets are added; rows that don't parse are passed over. Option ``window`` (x0,x1,y0,y1; half-open) filters while parsing."""
 

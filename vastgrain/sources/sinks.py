@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,7 +63,7 @@ FORMATS = ("parquet", "ndjson", "csv", "orc")
 class Harvest:
     """Named results in a folder, with a manifest table of what, from where, how many rows and for whom."""
 
-    MANIFEST = "name string, source string, format string, kind string, targets array<string>, rows long, sha256 string, note string, stat map<string,double>"
+    MANIFEST = "name string, source string, format string, kind string, targets array<string>, rows long, content_hash string, note string, stat map<string,double>"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -77,6 +78,25 @@ class Harvest:
         row = [(name, source, fmt, kind, list(targets), digest["n"], digest["d"], note, {k: float(v) for k, v in (stat or {}).items()})]
         self.spark.createDataFrame(row, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
+    def add_staged(self, staging, key: str, name: str | None = None, targets: Sequence[str] = (), note: str = "", overwrite: bool = False) -> str:
+        """Copy a staged extract here without reading its source again; its name. Characters of the key that a file name
+        can't hold become ``-``. A name that is there already is an error unless ``overwrite``."""
+        if key not in staging.index:
+            raise KeyError(f"no staged extract {key!r}; there are {sorted(staging.index)}")
+        name = name or re.sub(r"[^A-Za-z0-9._-]", "-", key)[:200]
+        if not name.strip(".") or "/" in name:
+            raise ValueError(f"{name!r} can't be a name")
+        if not overwrite and name in self.names():
+            raise ValueError(f"{name!r} is there already")
+        self.add(name, staging.read(key), source=staging.index[key].source, targets=targets, note=note)
+        return name
+
+    def names(self) -> set[str]:
+        """What the manifest has; nothing before the first result."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        there = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return {r["name"] for r in self.manifest().select("name").distinct().collect()} if there else set()
+
     def manifest(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/manifest")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -85,13 +86,23 @@ class Device:
 
 
 def replay(events: DataFrame, capacity: int, policy: Policy = Policy()) -> DataFrame:
-    """What the policy did: ``device, t, outcome, holder, amount``. ``events`` has ``device, t, line, op, holder, amount``; a device's events are one ordered log."""
-    kind = events.schema["device"].dataType.simpleString()
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        d, out = Device(capacity, policy), []
-        for e in f.sort_values(["t", "line"]).itertuples():
-            out += [(e.device, float(e.t), *x) for x in d.step(float(e.t), e.op, e.holder, int(e.amount))]
-        return pd.DataFrame(out, columns=["device", "t", "outcome", "holder", "amount"])
+    """What the policy did: ``device, t, outcome, holder, amount``. ``events`` has ``device, t, line, op, holder, amount``; a device's events are one ordered log.
 
-    return events.groupBy("device").applyInPandas(run, f"device {kind}, t double, outcome string, holder string, amount long")
+    Each decision depends on the one before, so a device's log is read in order by one task; what is held is the device's leases and
+    queue, not its history.
+    """
+    kind = events.schema["device"].dataType.simpleString()
+    names = ["device", "t", "outcome", "holder", "amount"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, device = None, None
+        for f in frames:
+            out = []
+            for e in f.itertuples(index=False):
+                if device is None or e.device != name:
+                    name, device = e.device, Device(capacity, policy)
+                out += [(e.device, float(e.t), *x) for x in device.step(float(e.t), e.op, e.holder, int(e.amount))]
+            yield pd.DataFrame(out, columns=names)
+
+    in_order = events.select("device", "t", "line", "op", "holder", "amount").repartition("device").sortWithinPartitions("device", "t", "line")
+    return in_order.mapInPandas(run, f"device {kind}, t double, outcome string, holder string, amount long")
