@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -12,6 +10,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.folds import lru_victims
+from ..sources.shared import Store
 from .cost import Budget, parse_size
 
 
@@ -32,27 +31,20 @@ class StagingFull(RuntimeError):
 
 
 class Staging:
-    """Extracts as Parquet folders, up to a capacity; the least recently used ones that aren't pinned make room, all needed or none."""
+    """Extracts as Parquet folders in any store Spark writes to, up to a capacity; the least recently used ones that aren't pinned make
+    room, all needed or none. The index is one small text beside them."""
+
+    INDEX = "index.json"
 
     def __init__(self, spark: SparkSession, path: str, capacity: str | int = "50GB"):
-        self.spark, self.path, self.capacity = spark, path, parse_size(capacity)
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.capacity = spark, parse_size(capacity)
+        self.store = Store(spark, path)
         self.index: dict[str, Staged] = {}
-        if os.path.exists(self._index_path):
-            with open(self._index_path, encoding="utf-8") as f:
-                self.index = {k: Staged(**v) for k, v in json.load(f).items() if os.path.isdir(self._folder(k))}
-
-    @property
-    def _index_path(self) -> str:
-        return os.path.join(self.path, "index.json")
-
-    def _folder(self, key: str) -> str:
-        return os.path.join(self.path, key)
+        if self.store.exists(self.INDEX):
+            self.index = {k: Staged(**v) for k, v in json.loads(self.store.read(self.INDEX)).items() if self.store.exists(k)}
 
     def _save(self) -> None:
-        with open(self._index_path + ".part", "w", encoding="utf-8") as f:
-            json.dump({k: asdict(v) for k, v in self.index.items()}, f)
-        os.rename(self._index_path + ".part", self._index_path)
+        self.store.write(self.INDEX, json.dumps({k: asdict(v) for k, v in self.index.items()}))
 
     @property
     def used(self) -> int:
@@ -63,17 +55,17 @@ class Staging:
         have = self.index.get(key)
         if have and (have.source, have.signature) == (source, signature):
             return self.read(key)
-        part = self._folder(f".{key}.part")
-        make().write.mode("overwrite").parquet(f"file://{os.path.abspath(part)}")
-        size = sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(part) for n in names)
+        part = f".{key}.part"
+        make().write.mode("overwrite").parquet(self.store.of(part))
+        size = self.store.size(part)
         others = [(s.key, s.bytes, s.accessed, s.pinned) for s in self.index.values() if s.key != key]
         victims = lru_victims(others, size, self.capacity)
         if victims is None:
-            shutil.rmtree(part)
+            self.store.delete(part)
             raise StagingFull(f"{size} bytes don't fit {self.capacity}")
         for v in [*victims, *([key] if have else [])]:
             self.evict(v)
-        os.rename(part, self._folder(key))
+        self.store.move(part, key)
         self.index[key] = Staged(key, source, signature, size, time.time(), pin)
         self._save()
         return self.read(key)
@@ -81,7 +73,7 @@ class Staging:
     def read(self, key: str) -> DataFrame:
         self.index[key].accessed = time.time()
         self._save()
-        return self.spark.read.parquet(f"file://{os.path.abspath(self._folder(key))}")
+        return self.spark.read.parquet(self.store.of(key))
 
     def pin(self, key: str, pinned: bool = True) -> None:
         self.index[key].pinned = pinned
@@ -89,7 +81,7 @@ class Staging:
 
     def evict(self, key: str) -> None:
         self.index.pop(key)
-        shutil.rmtree(self._folder(key))
+        self.store.delete(key)
         self._save()
 
     def report(self) -> DataFrame:
@@ -133,34 +125,38 @@ class Workspace:
         self.views |= self.broadcast(lambda v: v.select_fraction(*bounds), only)
 
 
-def run_isolated(f: Callable, *args, timeout: float = 300, memory: str | int | None = None):
-    """``f(*args)`` in a process of its own, with a time limit and a memory limit; its exception is raised here."""
-    import multiprocessing as mp
+_CHILD = """
+import pickle, sys
+memory, payload = pickle.load(sys.stdin.buffer)
+if memory:
+    import resource
+    resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
+try:
+    f, args = pickle.loads(payload)
+    out = (True, f(*args))
+except BaseException as e:
+    out = (False, f"{type(e).__name__}: {e}")
+sys.stdout.buffer.write(b"\\0result" + pickle.dumps(out))
+"""
 
-    ctx = mp.get_context("fork")
-    here, there = ctx.Pipe(duplex=False)
 
-    def child() -> None:
-        if memory is not None:
-            import resource
+def run_isolated(f: Callable, *args, timeout: float = 300, memory: str | int | None = None):
+    """``f(*args)`` in a fresh interpreter of its own, with a time limit and a memory limit; its exception is raised here."""
+    import pickle
+    import subprocess
+    import sys
 
-            resource.setrlimit(resource.RLIMIT_AS, (parse_size(memory), parse_size(memory)))
-        try:
-            there.send((True, f(*args)))
-        except BaseException as e:
-            there.send((False, f"{type(e).__name__}: {e}"))
+    from pyspark import cloudpickle
 
-    p = ctx.Process(target=child)
-    p.start()
+    sent = pickle.dumps((parse_size(memory) if memory is not None else 0, cloudpickle.dumps((f, args))))
     try:
-        if not here.poll(timeout):
-            raise TimeoutError(f"no result within {timeout} s")
-        ok, value = here.recv()
-    except EOFError:
-        raise MemoryError("the process died") from None
-    finally:
-        p.kill()
-        p.join()
+        done = subprocess.run([sys.executable, "-c", _CHILD], input=sent, capture_output=True, timeout=timeout)
+    except subprocess.TimeoutExpired:
+        raise TimeoutError(f"no result within {timeout} s") from None
+    _, found, result = done.stdout.partition(b"\0result")
+    if not found:
+        raise MemoryError(f"the process died: {done.stderr.decode(errors='replace')[-300:]}")
+    ok, value = pickle.loads(result)
     if not ok:
         raise RuntimeError(value)
     return value

@@ -34,3 +34,49 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Store:
+    """Files and folders below a path in any store that Spark reads: sizes, moves, deletes, and small texts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
+        self.system = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.system.mkdirs(self._at(""))
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def of(self, name: str) -> str:
+        """The path of a name, as Spark takes it."""
+        return f"{self.path}/{name}"
+
+    def exists(self, name: str) -> bool:
+        return self.system.exists(self._at(name))
+
+    def size(self, name: str) -> int:
+        """Bytes of all files below."""
+        return self.system.getContentSummary(self._at(name)).getLength()
+
+    def move(self, name: str, to: str) -> None:
+        if not self.system.rename(self._at(name), self._at(to)):
+            raise OSError(f"{self.of(name)} can't be moved to {to}")
+
+    def delete(self, name: str) -> None:
+        self.system.delete(self._at(name), True)
+
+    def write(self, name: str, text: str) -> None:
+        """A small text, written whole and then moved into place."""
+        out = self.system.create(self._at(name + ".part"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.delete(name)
+        self.move(name + ".part", name)
+
+    def read(self, name: str) -> str:
+        stream = self.system.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
