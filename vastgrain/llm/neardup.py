@@ -336,9 +336,19 @@ def first_candidates(texts: DataFrame, n: int, first: int = FIRST, threshold: fl
     return candidates(texts, rows, _ends(rows, n * first), n * first, threshold)
 
 
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``root``, the class of their ``node``. Texts without a link are their own; most of them stay out of the exchange."""
+    maybe = maybe_among(roots.select("node"), "node", roots.count())
+    joined = lambda part: part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if maybe is None:
+        return joined(rows)
+    linked = maybe(F.array("node"))
+    return rows.filter(~linked).withColumn("root", F.col("node")).unionByName(joined(rows.filter(linked)))
+
+
 def class_rows(texts: DataFrame, roots: DataFrame, n: int, samples: int) -> tuple[DataFrame, DataFrame]:
     """(rows, ends): one text (``bucket, root, node``) of each class in each bucket of several classes, and the buckets' ends."""
-    rooted = texts.select("node", "sample").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", F.explode(_buckets(0, samples)).alias("bucket"))
+    rooted = with_roots(texts.select("node", "sample"), roots).select("root", "node", F.explode(_buckets(0, samples)).alias("bucket"))
     # A class of very many texts is reduced to one row a bucket before the exchange.
     rows = materialize(rooted.groupBy("bucket", "root").agg(F.min("node").alias("node")), "class-rows", n * samples)
     ends = _ends(rows, n * samples)
