@@ -71,7 +71,8 @@ def test_nifti(spark, tmp_path):
 
 def test_dispatch(tmp_path):
     assert dispatch.format_of("a/b.fastq.gz") == "fastx" and dispatch.format_of("x.PARQUET") == "parquet"
-    for bad in ("x.h5ad", "x.what"):
+    assert dispatch.format_of("x.h5ad") == "h5ad" and dispatch.format_of("x.zarr") == "zarr"
+    for bad in ("x.xlsx", "x.what"):
         with pytest.raises(ValueError):
             dispatch.format_of(bad)
     assert dispatch.is_hub_id("org/name", False) and not dispatch.is_hub_id("org/name", True) and not dispatch.is_hub_id("a/b/c", False)
