@@ -286,10 +286,10 @@ def similar_tiles(t):
     return Y.similar_tiles(profiles, 2, 0, 200, 100, 5)
 
 
-@query("sliding_similarity")
+@query("sliding_similarity", "WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1), z AS (SELECT day, (v - (SELECT avg(v) FROM d)) / (SELECT stddev_pop(v) FROM d) AS z FROM d), w AS (SELECT day, z, lead(z, 1) OVER (ORDER BY day) AS z1, lead(z, 2) OVER (ORDER BY day) AS z2 FROM z) SELECT day, round(1 / (1 + (abs(z - 1) + abs(z1) + abs(z2 + 1)) / 3), 9) AS score FROM w WHERE z2 IS NOT NULL")
 def sliding_similarity(t):
     series = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return Y.sliding_distance(series, "day", "v", [1.0, 0.0, -1.0])
+    return Y.sliding_distance(series, "day", "v", [1.0, 0.0, -1.0]).withColumn("score", F.round("score", 9))
 
 
 @query(
