@@ -35,6 +35,18 @@ def test_query(spark, duck, name):
         assert df.schema == QUERIES[name](spark, FOLDER).schema
 
 
+def test_bitpack_widths_keeps_stored_order_of_ties(spark, tmp_path):
+    """Spark reads the larger file first; the rows of the first one come first all the same."""
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    duckdb.sql(f"copy (select 1::bigint l_orderkey, 1 l_linenumber, 0::bigint l_partkey) to '{folder}/a.parquet'")
+    duckdb.sql(f"copy (select * from (values (1::bigint, 1, 1000::bigint), (1, 2, 2000), (300, 1, 7), (300, 1, 9), (300, 2, 5)) v(l_orderkey, l_linenumber, l_partkey)) to '{folder}/b.parquet'")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{folder}/*.parquet'")
+    got = QUERIES["bitpack_widths"](spark, str(tmp_path)).collect()
+    assert rows(got) == rows(con.sql(ORACLE["bitpack_widths"]).fetchall()) == rows([(0, 11, 11), (2, 3, 3)])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

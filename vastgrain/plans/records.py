@@ -234,11 +234,16 @@ def relabel_offset(t):
 
 @query("bitpack_widths", "WITH d AS (SELECT l_orderkey // 128 AS block, l_partkey AS v, l_partkey - lag(l_partkey) OVER (PARTITION BY l_orderkey // 128 ORDER BY l_orderkey, l_linenumber) AS d FROM lineitem), z AS (SELECT block, max(v) - min(v) AS r, max(CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END) AS z FROM d GROUP BY block) SELECT block, CASE WHEN r = 0 THEN 0 ELSE length(bin(r)) END AS frame, CASE WHEN coalesce(z, 0) = 0 THEN 0 ELSE length(bin(z)) END AS delta FROM z")
 def bitpack_widths(t):
-    """Bits a value under a frame of reference and as zigzag deltas, per block; the narrower one is what a codec takes."""
+    """Bits a value under a frame of reference and as zigzag deltas, per block; the narrower one is what a codec takes.
+
+    Rows with the same line number of one order stay as they are stored: by file, in order of the names, and by row.
+    """
     from ..functions.scalars import bit_width, zigzag
 
-    w = Window.partitionBy("block").orderBy("l_orderkey", "l_linenumber")
-    d = t.lineitem.withColumn("block", F.expr("l_orderkey div 128")).withColumn("d", F.col("l_partkey") - F.lag("l_partkey").over(w))
+    w = Window.partitionBy("block").orderBy("l_orderkey", "l_linenumber", "file", "row_index")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "_metadata.file_path", "_metadata.row_index")
+    files = t.lineitem.select("_metadata.file_path").distinct().withColumn("file", F.row_number().over(Window.orderBy("file_path")))  # one row a file
+    d = lines.join(F.broadcast(files), "file_path").withColumn("block", F.expr("l_orderkey div 128")).withColumn("d", F.col("l_partkey") - F.lag("l_partkey").over(w))
     z = d.groupBy("block").agg((F.max("l_partkey") - F.min("l_partkey")).alias("r"), F.max(zigzag(F.col("d"))).alias("z"))
     return z.select("block", bit_width(F.col("r")).cast("bigint").alias("frame"), bit_width(F.coalesce("z", F.lit(0))).cast("bigint").alias("delta"))
 
