@@ -172,3 +172,35 @@ def test_pairs_with_two_equal_samples(spark, tmp_path):
     pairs = [(2 * i + e, " ".join(f"s{i}x{j}" for j in range(8 + e))) for i in (4807, 5614, 13879, 17726, 18624, 19033) for e in range(2)]
     got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()}
     assert got == {i: i - i % 2 for i, _ in pairs}
+
+
+def crowd(n=500, seed=5):
+    """Near copies of one text, each with a few words of its own, so that many miss the class they belong to in the first steps."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(110)]
+    texts = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rnd.choice([1, 1, 1, 2, 2])):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(t))
+    return list(enumerate(texts))
+
+
+def test_small_buckets_are_paired_without_the_join_of_kmers(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("texts went through the join of k-mers")
+
+    monkeypatch.setattr(N, "left_candidates", never)
+    pairs = corpus(7)[:120]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()}
+    assert got == classes_of(pairs)
+
+
+def test_every_way_through_the_last_steps(spark, tmp_path, monkeypatch):
+    pairs = crowd(120) + [(i + 1000, t) for i, t in corpus(7)[:40]]
+    want = classes_of(pairs)
+    for few, turns in ((0, 0), (8, 2), (10**6, 0)):
+        monkeypatch.setattr(N, "FEW", few)
+        monkeypatch.setattr(N, "TURNS", turns)
+        assert {r.doc_id: r.class_id for r in N.near_duplicates(cases.simple(spark, tmp_path, pairs)).collect()} == want

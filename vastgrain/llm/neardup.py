@@ -11,15 +11,18 @@ agrees, and at that level the alignment can't leave the band, whose width follow
 of ``ELL`` k-mers, a pair at the threshold agrees in one sample with probability about 0.8 ** ELL (a half), and is
 missed by all ``SAMPLES`` with probability about 3e-8 (4.7e-6 for 4 against 5 k-mers, where it is 0.4).
 
-Scale: texts with the same words collapse first, so copies meet as one. Then three steps, each on the classes the ones
+Scale: texts with the same words collapse first, so copies meet as one. Then four steps, each on the classes the ones
 before have made:
 
 1. buckets of the first ``FIRST`` samples: each text meets the bucket's smallest and largest text;
 2. buckets of all samples, reduced to one text of each class: it meets those of the bucket's smallest and largest class;
-3. every bucket that still holds several classes: all pairs of texts of different classes in it, by an exact prefix join
-   over their rare k-mers. So each pair that shares a sample is in one class, or tested, or ruled out by its counts.
+3. buckets that still hold several classes, a few times over: each text outside a bucket's largest class meets one text of
+   that class, another each time, so that texts of a large group that have missed it so far come in one by one;
+4. every bucket that holds several classes even then: all pairs of texts of different classes in it. Buckets of at most
+   ``FEW`` texts are paired as they are; the texts of the others go through an exact prefix join over their rare k-mers. So
+   each pair that shares a sample is in one class, or tested, or ruled out by its counts.
 
-No bucket's texts are paired all with all; buckets are reduced before the exchange and joined back on a key that adaptive
+No larger bucket's texts are paired all with all; buckets are reduced before the exchange and joined back on a key that adaptive
 execution splits. Links become classes by alternating star contraction on DataFrames. Nothing of the corpus reaches the
 driver but a table of counts of fixed size and filters whose size is checked, with a plain join beyond it.
 
@@ -49,6 +52,10 @@ FIRST = 4
 AGREE = 3
 #: Slots of the table of k-mer counts by which the exact join orders k-mers (8 MB); sharing a slot costs time only.
 SLOTS = 1 << 20
+#: Times that texts outside the largest class of their bucket meet a text of it before the exact step.
+TURNS = 2
+#: Texts of a bucket whose pairs the exact step takes as they are, at most half as many a text.
+FEW = 8
 #: Symbols of one side taken at a time in the banded alignment.
 STEP = 512
 #: Cells of a text's table of labelled k-mers, by which pairs are ruled out before their texts are fetched; seven to a long.
@@ -323,17 +330,24 @@ def candidates(texts: DataFrame, rows: DataFrame, ends: DataFrame, n: int, thres
     return ruled_in(pairs, texts, pairs.count(), AGREE, threshold)
 
 
-def _ends(rows: DataFrame, n: int) -> DataFrame:
-    """The smallest and the largest class of each bucket that holds several, with a text of each, written."""
+def _mixed(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(mixed, ends), written, of ``rows`` that name each class of a bucket once: those of buckets of several classes, and the smallest
+    and the largest class of each, with a text of each.
+
+    Most buckets hold one class, so no more than their counts go through an exchange.
+    """
+    several = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket"), "buckets", n)
+    mixed = materialize(only_among(rows, "bucket", several, several.count()), "mixed-rows", n)
     end = F.struct("root", "node")
-    ends = rows.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low.root < high.root")
-    return materialize(ends, "buckets", n)
+    ends = materialize(mixed.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")), "ends", n)
+    forget(several)
+    return mixed, ends
 
 
 def first_candidates(texts: DataFrame, n: int, first: int = FIRST, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of texts that meet in the buckets of the ``first`` samples, where each text is a class of its own."""
     rows = texts.select(F.col("node").alias("root"), "node", F.explode(_buckets(0, first)).alias("bucket"))
-    return candidates(texts, rows, _ends(rows, n * first), n * first, threshold)
+    return candidates(texts, *_mixed(rows, n * first), n * first, threshold)
 
 
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -351,35 +365,68 @@ def class_rows(texts: DataFrame, roots: DataFrame, n: int, samples: int) -> tupl
     rooted = with_roots(texts.select("node", "sample"), roots).select("root", "node", F.explode(_buckets(0, samples)).alias("bucket"))
     # A class of very many texts is reduced to one row a bucket before the exchange.
     rows = materialize(rooted.groupBy("bucket", "root").agg(F.min("node").alias("node")), "class-rows", n * samples)
-    ends = _ends(rows, n * samples)
-    mixed = materialize(rows.join(ends.select("bucket"), "bucket", "left_semi"), "mixed-rows", n * samples)
+    mixed, ends = _mixed(rows, n * samples)
     forget(rows)
     return mixed, ends
 
 
-def mixed_nodes(texts: DataFrame, mixed: DataFrame, roots: DataFrame, samples: int, n: int) -> DataFrame | None:
-    """The texts (``node, root``, written) that may lie in a bucket of several classes; None where there is no such bucket.
+def rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` whose ``root`` is that of earlier classes, with the ``root`` they have in ``roots``."""
+    now = roots.select(F.col("node").alias("root"), F.col("root").alias("now"))
+    return rows.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+
+
+def left_rows(texts: DataFrame, mixed: DataFrame, roots: DataFrame, samples: int, n: int) -> DataFrame | None:
+    """All texts (``bucket, root, node, n_kmers``, written) of the buckets that hold several classes; None where there is no such bucket.
 
-    ``mixed`` has the earlier classes of the buckets that held several, ``roots`` the classes since. A filter passes on a few texts
-    too many, which costs time only.
+    ``mixed`` has the earlier classes of the buckets that held several, ``roots`` the classes since.
     """
-    now = roots.select(F.col("node").alias("root"), F.col("root").alias("now"))
     count = mixed.count()
-    rows = mixed.select("bucket", "root").join(now, "root", "left").select("bucket", F.coalesce("now", "root").alias("root"))
+    rows = rerooted(mixed.select("bucket", "root"), roots)
     buckets = materialize(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "mixed", count)
     several = buckets.count()
     if not several:
         return None
     maybe = maybe_among(buckets, "bucket", several)
-    own = texts.withColumn("buckets", _buckets(0, samples))
+    own = texts.select("node", "n_kmers", _buckets(0, samples).alias("buckets"))
     if maybe is not None:
         own = own.filter(maybe(F.col("buckets")))
-    else:
-        held = own.select("node", F.explode("buckets").alias("bucket")).join(buckets, "bucket", "left_semi").select("node").distinct()
-        own = own.join(held, "node", "left_semi")
-    nodes = materialize(own.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "mixed-nodes", n)
-    forget(buckets)
-    return nodes
+    own = own.select("node", "n_kmers", F.explode("buckets").alias("bucket"))
+    if maybe is not None:
+        own = own.filter(maybe(F.array("bucket")))
+    own = materialize(own.join(buckets, "bucket", "left_semi"), "left-texts", n * samples)
+    rows = materialize(with_roots(own, roots).select("bucket", "root", "node", "n_kmers"), "left-rows", n * samples)
+    forget(buckets, own)
+    return rows
+
+
+def tops(rows: DataFrame, turn: int, n: int) -> DataFrame:
+    """``bucket, top, node, total`` of the buckets of ``rows`` that hold several classes, written: the largest class, a text of it
+    (drawn anew each ``turn``) and the count of texts."""
+    draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node")).alias("drawn")
+    classes = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held"), draw)
+    largest = F.max(F.struct("held", "root", "drawn.node")).alias("top")
+    found = classes.groupBy("bucket").agg(largest, F.sum("held").alias("total"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    return materialize(found.select("bucket", F.col("top.root").alias("top"), F.col("top.node").alias("node"), "total"), "tops", n)
+
+
+def turns(rows: DataFrame, sketched: DataFrame, keyed: DataFrame, key: str, roots: DataFrame, tested: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """(roots, tested) after each text of ``rows`` has met, a few times, a text of the largest class of its bucket."""
+    n = rows.count()
+    for turn in range(TURNS):
+        now = materialize(rerooted(rows, roots), "turn-rows", n)
+        largest = tops(now, turn, n)
+        met = now.withColumnRenamed("node", "x").join(largest, "bucket").filter(F.col("root") != F.col("top"))
+        pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "met", n)
+        new = materialize(ruled_in(pairs, sketched, pairs.count(), 1, threshold), "pairs", n)
+        links = _verified(keyed, key, new, threshold, words)
+        forget(now, largest, pairs)
+        tested = tested.unionByName(new)
+        if links.isEmpty():
+            break
+        roots = merged(roots, links)
+    return roots, tested
 
 
 def kmer_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -471,13 +518,31 @@ def left_candidates(texts: DataFrame, sketched: DataFrame, threshold: float = TH
     return left
 
 
-def left_links(nodes: DataFrame, sketched: DataFrame, keyed: DataFrame, key: str, roots: DataFrame, tested: DataFrame, threshold: float, words: int, n: int) -> DataFrame:
-    """The classes (``node, root``) after all pairs that :func:`left_candidates` leaves have been tested, unless their texts are in one class by then."""
-    needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
-    needed = materialize(only_among(needed, "node", nodes.select("node"), nodes.count()).join(nodes, "node"), "left-texts")
-    pairs = left_candidates(needed, sketched, threshold, words)
-    left = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "left-pairs")
+def few_candidates(rows: DataFrame, sketched: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
+    """The same as :func:`left_candidates` for texts (``bucket, root, node, n_kmers``) of buckets of at most ``FEW``, taken as they are."""
+    side = lambda end: rows.select("bucket", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "n_kmers")])
+    both = side("a").join(side("b"), "bucket").filter(F.expr("node_a < node_b and root_a != root_b") & _fits("n_kmers_a", "n_kmers_b", threshold))
+    pairs = materialize(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb")).distinct(), "few-pairs", FEW * n)
+    left = materialize(ruled_in(pairs, sketched, pairs.count(), 1, threshold), "ruled-in", FEW * n)
     forget(pairs)
+    return left
+
+
+def left_links(rows: DataFrame, sketched: DataFrame, keyed: DataFrame, key: str, roots: DataFrame, tested: DataFrame, threshold: float, words: int) -> DataFrame:
+    """The classes (``node, root``) after all pairs of different classes in one bucket of ``rows`` that may reach the threshold have been
+    tested, unless their texts are in one class by then."""
+    n = rows.count()
+    now = materialize(rerooted(rows, roots), "now-rows", n)
+    buckets = tops(now, TURNS, n)
+    pairs = few_candidates(now.join(buckets.filter(F.col("total") <= FEW).select("bucket"), "bucket", "left_semi"), sketched, n, threshold)
+    nodes = materialize(now.join(buckets.filter(F.col("total") > FEW).select("bucket"), "bucket", "left_semi").select("node", "root").distinct(), "mixed-nodes", n)
+    if not nodes.isEmpty():
+        needed = keyed.select(F.col(key).alias("node"), text_of("text").alias("text"))
+        needed = materialize(only_among(needed, "node", nodes.select("node"), nodes.count()).join(nodes, "node"), "left-texts")
+        pairs = pairs.unionByName(left_candidates(needed, sketched, threshold, words)).distinct()
+        forget(needed)
+    left = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "left-pairs")
+    forget(now, buckets, nodes)
     # One pair of each two classes goes first, which saves most of the others where classes are large.
     likely = F.min(F.struct(F.xxhash64("a", "b").alias("draw"), "a", "b")).alias("p")
     one = materialize(left.groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(likely).select("p.a", "p.b"), "one-pairs", left.count())
@@ -489,9 +554,8 @@ def left_links(nodes: DataFrame, sketched: DataFrame, keyed: DataFrame, key: str
             pairs = materialize(pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "rest-pairs", left.count())
         if pairs.isEmpty():
             continue
-        found = materialize(verify(pairs, needed, threshold, words), "links")
-        roots = merged(roots, found)
-    forget(needed, left, one)
+        roots = merged(roots, _verified(keyed, key, pairs, threshold, words))
+    forget(left, one)
     return roots
 
 
@@ -588,10 +652,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = candidates(texts, mixed, ends, n * samples, threshold).join(tested, ["a", "b"], "left_anti")
     more = materialize(more, "pairs", 2 * samples * n)
     roots = merged(roots, _verified(keyed, key, more, threshold, words))
-    # Step 3: all that is left in buckets of several classes.
-    left = mixed_nodes(texts, mixed, roots, samples, n)
+    left = left_rows(texts, mixed, roots, samples, n)
     if left is not None:
-        roots = left_links(left, texts, keyed, key, roots, tested.unionByName(more), threshold, words, n)
+        # Step 3: texts outside the largest class of a bucket.
+        roots, done = turns(left, texts, keyed, key, roots, tested.unionByName(more), threshold, words)
+        # Step 4: all that is left in buckets of several classes.
+        roots = left_links(left, texts, keyed, key, roots, done, threshold, words)
     whole = materialize(of_row.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root")), "classes", n)
     best = F.struct(F.col("doc_id").isNotNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     classes = whole.groupBy("root").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
