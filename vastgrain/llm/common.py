@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -48,19 +50,38 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 #: Rows of a narrow table that one file may hold.
 FILE_ROWS = 250_000
-
-
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+#: Rows that Python functions over texts work on at a time. Whole batches of Spark's 10,000 rows, held on both sides, take more
+#: memory than all the tables these functions look things up in.
+TEXT_ROWS = 512
+#: Spark's setting of the rows in a batch.
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs in here hands Python at most ``TEXT_ROWS`` rows at a time; afterwards the session is as it was."""
+    before = spark.conf.get(BATCH_CONF)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(BATCH_CONF, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, texts: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, fixes values that depend on partition numbers, and survives lost executors. ``rows``, an upper
-    bound of a narrow table's rows, keeps a small table from being scattered over many small files.
+    bound of a narrow table's rows, keeps a small table from being scattered over many small files; ``texts`` says that
+    texts go through Python on the way, in small batches.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    with small_batches(spark) if texts else contextlib.nullcontext():
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
@@ -94,17 +115,27 @@ def keyed_table(df: DataFrame, name: str = "keyed", key: str = ROW) -> DataFrame
     return materialize(with_row_key(df, key), name)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and waits beside those at work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a per-task setup: ``make()`` runs once in each Python task and returns the batch function."""
+    """``mapInArrow`` with a per-task setup: ``make()`` runs once in each Python task and returns the function of a batch, which gets ``TEXT_ROWS`` rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            out = step(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for lo in range(0, max(1, batch.num_rows), TEXT_ROWS):
+                out = step(batch.slice(lo, TEXT_ROWS))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
+        del step
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -114,9 +145,10 @@ VALUE_BITS = 16
 FILTER_BITS = 1 << 28
 
 
-def maybe_among(few: DataFrame, column: str, n: int):
-    """A Bloom filter of the ``n`` rows of ``few``: a function of a column of longs, or of arrays of them, that is true where any
-    is in ``few`` (and now and then where none is). None where it would have more than ``FILTER_BITS`` bits.
+def maybe_among(few: DataFrame, column: str, n: int, each: bool = False):
+    """A Bloom filter of the ``n`` rows of ``few``: a function of a column of arrays of longs that is true where any
+    is in ``few`` (and now and then where none is), or with ``each`` leaves of them those that are. None where it would have more
+    than ``FILTER_BITS`` bits.
     """
     size = 1 << max(16, (VALUE_BITS * n - 1).bit_length())
     if size > FILTER_BITS:
@@ -145,7 +177,19 @@ def maybe_among(few: DataFrame, column: str, n: int):
         found[np.repeat(np.arange(len(first)), sizes)[have]] = True
         return pd.Series(found)
 
+    @F.pandas_udf("array<long>")
+    def those_held(first: pd.Series, second: pd.Series, values: pd.Series) -> pd.Series:
+        sizes = np.fromiter((len(x) for x in values), np.int64, len(values))
+        if not sizes.sum():
+            return values
+        have = held(np.concatenate(first.tolist()).astype(np.int64), np.concatenate(second.tolist()).astype(np.int64))
+        ends = np.cumsum(sizes)
+        left = np.concatenate(values.tolist()).astype(np.int64)[have]
+        return pd.Series(np.split(left, np.append(0, np.cumsum(have))[ends[:-1]]))
+
     hashes = lambda values, k: F.transform(values, lambda x: F.pmod(F.xxhash64(x, F.lit(k)), F.lit(size)))
+    if each:
+        return lambda values: those_held(hashes(values, 0), hashes(values, 1), values)
     return lambda values: any_held(hashes(values, 0), hashes(values, 1))
 
 

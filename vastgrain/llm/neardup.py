@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, forget, keyed_table, map_batches, materialize, maybe_among, text_of
+from .common import ROW, forget, keyed_table, map_batches, materialize, maybe_among, release, small_batches, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -387,13 +387,12 @@ def left_rows(texts: DataFrame, mixed: DataFrame, roots: DataFrame, samples: int
     several = buckets.count()
     if not several:
         return None
-    maybe = maybe_among(buckets, "bucket", several)
+    those = maybe_among(buckets, "bucket", several, each=True)
     own = texts.select("node", "n_kmers", _buckets(0, samples).alias("buckets"))
-    if maybe is not None:
-        own = own.filter(maybe(F.col("buckets")))
-    own = own.select("node", "n_kmers", F.explode("buckets").alias("bucket"))
-    if maybe is not None:
-        own = own.filter(maybe(F.array("bucket")))
+    if those is not None:  # one look at each text: two in a row would run in two workers at once
+        own = own.withColumn("buckets", those(F.col("buckets")))
+    # Outer, as Spark would else look a second time, for empty arrays; the join drops their nulls.
+    own = own.select("node", "n_kmers", F.explode_outer("buckets").alias("bucket"))
     own = materialize(own.join(buckets, "bucket", "left_semi"), "left-texts", n * samples)
     rows = materialize(with_roots(own, roots).select("bucket", "root", "node", "n_kmers"), "left-rows", n * samples)
     forget(buckets, own)
@@ -438,9 +437,13 @@ def kmer_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 np.add.at(total, (labelled(shingles.of(shingles.tokens(text))) % np.uint64(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+        for lo in range(0, len(at), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + CHUNK]), pa.array(total[at[lo : lo + CHUNK]])], ["slot", "n"])
+        del shingles, total, at
+        release()
 
-    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # bounded by SLOTS
+    with small_batches(texts.sparkSession):
+        found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # bounded by SLOTS
     counts = np.zeros(SLOTS, np.int64)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return counts
@@ -488,7 +491,7 @@ def left_candidates(texts: DataFrame, sketched: DataFrame, threshold: float = TH
         return step
 
     prefixes = map_batches(texts.select("node", "root", "text"), make, "node long, root long, n long, kmer long, place long")
-    prefixes = materialize(prefixes, "prefixes")
+    prefixes = materialize(prefixes, "prefixes", texts=True)
     by_class = prefixes.groupBy("kmer", "root").agg(F.count(F.lit(1)).alias("held"))
     shared = by_class.groupBy("kmer").agg(F.max(F.struct("held", "root")).alias("top"), F.sum("held").alias("total"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     heavy = F.col("total") * (F.col("total") - F.col("top.held")) > HEAVY
@@ -620,7 +623,7 @@ def _verified(keyed: DataFrame, key: str, pairs: DataFrame, threshold: float, wo
     ends = materialize(ends, "ends", 2 * pairs.count())
     needed = only_among(keyed.select(key, text_of("text").alias("text")), key, ends, ends.count())
     texts = materialize(needed.withColumnRenamed(key, "node"), "texts")
-    links = materialize(verify(pairs, texts, threshold, words), "links")
+    links = materialize(verify(pairs, texts, threshold, words), "links", texts=True)
     forget(ends, texts)
     return links
 
@@ -635,7 +638,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = row_col or ROW
     source = docs if row_col else keyed_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     keyed = source.select(F.col(key).cast("long").alias(key), F.col(id_col if row_col else "doc_id").alias("doc_id"), F.col(text_col if row_col else "text").alias("text"))
-    rows = materialize(sketches(keyed, key, "doc_id", "text", words, samples, ell), "sketches")
+    rows = materialize(sketches(keyed, key, "doc_id", "text", words, samples, ell), "sketches", texts=True)
     # Texts with the same words are one node, named by their smallest row.
     n = rows.count()
     nodes = materialize(rows.groupBy("same").agg(F.min("row").alias("node")), "same", n)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize, text_of
+from .common import map_batches, materialize, release, text_of
 
 CAPACITY = 2048
 #: Documents in a group.
@@ -170,7 +170,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DO
     clash = {"sequence_id", "offset", "group_number"} & {c.lower() for c in pieces.columns}
     if clash:
         raise ValueError(f"pieces have columns {sorted(clash)}")
-    stored = materialize(pieces, "pieces")
+    stored = materialize(pieces, "pieces", texts=True)
     groups = max(1, -(-stored.filter("start = 0").count() // group_docs))
     schema = T.StructType([*stored.schema.fields, T.StructField("group_number", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -190,6 +190,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DO
                 held.append(part)
         if held:
             yield packed(pd.concat(held, ignore_index=True))
+        held = []
+        release()
 
     rest = stored.filter(F.col("length") < capacity).withColumn("group_number", F.pmod("draw", F.lit(groups)))
     fitted = rest.repartition("group_number").sortWithinPartitions("group_number").mapInPandas(run, schema).drop("group_number")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, text_of
+from .common import Memo, map_batches, release, text_of
 
 SLOTS = 1 << 18
 #: Words, or runs of marks.
@@ -146,5 +146,7 @@ def score_column(weights: np.ndarray, slots: int = SLOTS):
         for texts in parts:
             found = (features.vector(t or "") for t in texts)
             yield pd.Series([_logistic(float(w[at] @ x)) for at, x in found], dtype="float64")
+        texts = found = features = w = None
+        release()
 
     return scored

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import TEXT_ROWS, map_batches, release, text_of
 
 
 @dataclass(frozen=True)
@@ -442,10 +442,13 @@ def redactor(rules: tuple[Rule, ...] = RULES):
 
     @F.pandas_udf("string")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            out: list = []
-            for part in _portions(["" if t is None else t for t in texts]):
-                out += [redact(t, s) for t, s in zip(part, find_spans(part, scanner), strict=True)]
-            yield pd.Series([None if t is None else o for t, o in zip(texts, out, strict=True)], dtype="object")
+        for batch in parts:
+            for lo in range(0, max(1, len(batch)), TEXT_ROWS):
+                texts, out = batch.iloc[lo : lo + TEXT_ROWS], []
+                for part in _portions(["" if t is None else t for t in texts]):
+                    out += [redact(t, s) for t, s in zip(part, find_spans(part, scanner), strict=True)]
+                yield pd.Series([None if t is None else o for t, o in zip(texts, out, strict=True)], dtype="object")
+        batch = texts = out = part = None
+        release()
 
     return clean
