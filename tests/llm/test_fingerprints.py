@@ -122,3 +122,13 @@ def test_neighbours(spark, tmp_path):
     assert P.compare_neighbours(cases.empty(spark, tmp_path)).count() == 0
     one = cases.simple(spark, tmp_path, [(4, "only one")])
     check([(4, "only one")], P.compare_neighbours(one).collect())
+
+
+def test_neighbours_across_parts_of_a_batch(spark, monkeypatch):
+    """A batch is worked on in parts; each document still meets its next one, wherever a part ends."""
+    from vastgrain.llm import common
+
+    docs = spark.createDataFrame([(i, f"text number {i * i} of a few " * (1 + i % 5)) for i in range(23)], "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, P.compare_neighbours(docs).collect()))
+    monkeypatch.setattr(common, "TEXT_ROWS", 2)
+    assert sorted(map(tuple, P.compare_neighbours(docs).collect())) == whole and len(whole) == 23
